@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terravane.llm import tokenize
+from terravane.llm import mix, neardup, quality_rules, shard, tokenize
 from terravane.llm.shared import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,9 +30,34 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = neardup.jaccard_groups(docs)
+    return found.select(F.col("key").alias("doc_id"), F.col("group").alias("class_id"), "copies", F.col("links").alias("n_links"), "text_links")
+
+
+def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_suffix_array_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+
+
+def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_token_counts": op2_token_counts,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_histogram_shards": op5_histogram_shards,
+    "op7_suffix_array_rules": op7_suffix_array_rules,
+    "op8_systematic_mix": op8_systematic_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_systematic_mix": mix.MIX_SQL.format(docs="documents") + "SELECT doc_id, size, source_size, target, copies * size AS taken FROM c",
+}
