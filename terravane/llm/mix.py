@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 #: Bins of the order within a source: documents of one size group are dealt over so many by hash.
 HASH_BINS = 64
-#: Rows of a source's size group that one numbering task should hold.
-BIN_ROWS = 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,9 +44,9 @@ def _unit(text: Column) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text: str = "text", source: str = "source"
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per document with size, source_size, target, copies and taken; reruns agree.
+    """One row per document with size, source_size, target, copies and taken (and the columns in `carry`); reruns agree.
 
     A document's size is its words (null text: 0). Each document of a source is expected
     target / source_size times, `cap` at most. Within a source, in the order of size and
@@ -62,29 +60,37 @@ def mix_sources(
     No window runs over a whole source: ranks come from counts in bins of (size group,
     hash), so a source that holds most rows is dealt over many tasks.
     """
-    rows = docs.select(
-        F.col(id_col), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__h")
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, share, cap)
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    targets = targets.withColumn("__e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    targets = targets.withColumn("__u", _unit(F.concat(F.lit(f"{seed}:"), name)))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*dict.fromkeys([id_col, *carry])).alias("__row"), F.col(source).alias("__source"), size.alias("__size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__h"))
     # order within a source: size, hash. A bin is a range of that order.
-    group = F.when(F.col("size") < 4096, F.col("size")).otherwise(F.lit(4096) + F.floor(F.log2(F.col("size") / 4096.0) * 64).cast("long"))
-    rows = rows.withColumn("__g", group).withColumn("__b", (F.conv(F.substring("__h", 1, 4), 16, 10).cast("long") * HASH_BINS / 65536).cast("int"))
-    rows = rows.withColumn("__b", F.when(F.col("size") < 4096, F.col("__b")).otherwise(F.lit(0)))
-    bins = rows.groupBy("source", "__g", "__b").agg(F.count("*").alias("__k"))
-    before = Window.partitionBy("source").orderBy("__g", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    small = F.col("__size") < 4096
+    group = F.when(small, F.col("__size")).otherwise(F.lit(4096) + F.floor(F.log2(F.greatest(F.col("__size"), F.lit(1)) / 4096.0) * 64).cast("long"))
+    part = F.when(small, (F.conv(F.substring("__h", 1, 4), 16, 10).cast("long") * HASH_BINS / 65536).cast("int")).otherwise(0)
+    rows = rows.withColumns({"__g": group, "__b": part})
+    bins = rows.groupBy("__source", "__g", "__b").agg(F.count("*").alias("__k"), F.sum("__size").alias("__bytes"))
+    before = Window.partitionBy("__source").orderBy("__g", "__b").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0)))
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("source", "__g", "__b").orderBy("size", "__h", id_col)))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("source", "__g", "__b")]
-    placed = ranked.alias("r").join(bins.alias("b"), same[0] & same[1] & same[2]).select(f"r.{id_col}", "r.source", "r.size", (F.col("b.__before") + F.col("r.__rn")).alias("__rank"))
-    out = placed.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-    upto = F.floor(F.col("t.__e") * F.col("p.__rank") + F.col("t.__u"))
-    prior = F.floor(F.col("t.__e") * (F.col("p.__rank") - 1) + F.col("t.__u"))
-    copies = (upto - prior).cast("long")
-    return out.select(F.col(f"p.{id_col}"), F.col("p.source").alias("source"), F.col("p.size").alias("size"), "t.source_size", "t.target", copies.alias("copies"), (copies * F.col("p.size")).alias("taken"))
+    sizes = bins.groupBy(F.col("__source").alias("source")).agg(F.sum("__bytes").alias("source_size"))
+    targets = source_targets(sizes, weights, share, cap)
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+    targets = targets.withColumn("__e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("__u", _unit(F.concat(F.lit(f"{seed}:"), name)))
+    bins = bins.alias("b").join(targets.alias("t"), F.col("b.__source").eqNullSafe(F.col("t.source"))).select("b.__source", "__g", "__b", "__before", "source_size", "target", "__e", "__u")
+    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__source", "__g", "__b").orderBy("__size", "__h", f"__row.{id_col}")))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__source", "__g", "__b")]
+    placed = ranked.alias("r").join(bins.alias("b"), same[0] & same[1] & same[2])
+    rank = F.col("__before") + F.col("__rn")
+    copies = (F.floor(F.col("__e") * rank + F.col("__u")) - F.floor(F.col("__e") * (rank - 1) + F.col("__u"))).cast("long")
+    kept = [F.col(f"__row.{c}").alias(c) for c in dict.fromkeys([id_col, *carry])]
+    own = [] if source in (id_col, *carry) else [F.col("r.__source").alias(source)]
+    return placed.select(*kept, *own, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the table's rows, each as often as mix_sources takes it."""
+    if clash := [c for c in ("size", "source_size", "target", "copies", "taken") if c in docs.columns]:
+        raise ValueError(f"columns {clash} exist already")
+    mixed = mix_sources(docs, carry=docs.columns, **options).where("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 #: The same rows as mix_sources, as DuckDB SQL over the table documents.

@@ -295,3 +295,13 @@ def jaccard_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, for
         F.min(F.coalesce("group", "key")).alias("group"), F.max(F.coalesce("copies", F.lit(1))).alias("copies"), F.max(F.coalesce("links", F.lit(0))).alias("links"), F.max(F.coalesce("text_links", F.lit(0))).alias("text_links")
     )
     return out.select("key", "group", "copies", (F.col("links") + F.col("copies") - 1).alias("links"), "text_links")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The table with one document of each group of jaccard_groups, that of the smallest key; rows that repeat an id leave one row.
+
+    Options are those of jaccard_groups.
+    """
+    groups = jaccard_groups(docs, id_col=id_col, text=text, **options)
+    kept = groups.where("key = group").select(F.col("key").alias("__key"))
+    return docs.withColumn("__key", document_key(id_col, text)).join(kept, "__key").dropDuplicates(["__key"]).select(*docs.columns)

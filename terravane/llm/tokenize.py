@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +58,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids:
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in plain], pa.string()),
                 ]
                 if ids:
-                    import numpy as np
-
-                    new.append(pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+                    new.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
                 if decoded:
                     new.append(pa.array(plain, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
