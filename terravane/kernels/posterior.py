@@ -10,7 +10,7 @@ intervals, quantiles) is one of the mixture.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -24,8 +24,8 @@ class SoftDatum:
     """Type 1 histogram, 2 linear nodes, 10 Gaussian (mean, var)."""
 
     kind: int
-    limi: np.ndarray = np.zeros(0)
-    dens: np.ndarray = np.zeros(0)
+    limi: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    dens: np.ndarray = field(default_factory=lambda: np.zeros(0))
     mean: float = 0.0
     var: float = 0.0
 

@@ -21,8 +21,9 @@ def query(sql: str | None = None, use: str = ""):
         if sql:
             ctes = [f"{name} AS ({binding_sql(name)})" for name in use.split()]
             text = sql.strip()
+            head = "WITH RECURSIVE " if text.startswith("WITH RECURSIVE ") else "WITH "
             if ctes:
-                text = "WITH " + ",\n".join(ctes) + (",\n" + text[5:] if text.startswith("WITH ") else "\n" + text)
+                text = head + ",\n".join(ctes) + (",\n" + text[len(head) :] if text.startswith(head) else "\n" + text)
             ORACLE_SQL[f.__name__] = text
         return f
 
