@@ -75,7 +75,7 @@ def search(tree: BallTree, queries: np.ndarray, query_ids: np.ndarray, kth: np.n
     scores = np.full((n, k), LOWEST)
     ids = np.full((n, k), NO_ID)
     kth, kth_id = kth.copy(), kth_id.copy()
-    upper = tree.bounds(queries)
+    upper = np.maximum(tree.bounds(queries), float(LOWEST))  # sums stop there
     heap = [(-float(upper[:, 0].max(initial=0)), 0, np.arange(n))]
     while heap:
         _, node, active = heapq.heappop(heap)
