@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravane.llm.bpe import encoder_of, read_spec
-from terravane.llm.shared import text_chunks
+from terravane.llm.shared import materialise, text_chunks
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -110,6 +110,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     _count_distinct(misses, tokenizer_path).write.mode("append").parquet(cache_path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     known = known.groupBy(F.col("digest").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens"))
+    known, _ = materialise(known, "counts")  # a plain table: the join below may then split a hot digest
     slim = [c for c in docs.columns if c != text]
     rows = docs.select(*slim, digest.alias("__digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     return rows.join(known, "__digest").drop("__digest").withColumn("over_limit", F.col("n_tokens") > limit)
