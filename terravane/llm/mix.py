@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bins of the order within a source: documents of one size group are dealt over so many by hash.
 HASH_BINS = 64
+#: Size groups that are summed together first.
+GROUP_STEP = 64
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +45,26 @@ def _unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
+def _rows_before(bins: DataFrame) -> DataFrame:
+    """Adds the rows of a source's earlier bins, summed in three steps of at most some hundred bins each: a large source's bins need not meet in one task."""
+
+    def earlier(keys: list[str], at: str) -> Window:
+        return Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+
+    steps = [["__source"], ["__source", "__w"], ["__source", "__w", "__g"]]
+    bins = bins.withColumn("__w", F.floor(F.col("__g") / GROUP_STEP))
+    total = F.coalesce(F.sum("__k").over(earlier(steps[2], "__b")), F.lit(0))
+    out = bins.withColumn("__before", total)
+    for keys, at in ((steps[1], "__g"), (steps[0], "__w")):
+        sums = bins.groupBy(*keys, at).agg(F.sum("__k").alias("__k"))
+        sums = sums.select(*(F.col(c).alias(f"{c}_") for c in (*keys, at)), F.coalesce(F.sum("__k").over(earlier(keys, at)), F.lit(0)).alias("__more"))
+        same = F.lit(True)
+        for c in (*keys, at):
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+        out = out.join(sums, same).withColumn("__before", F.col("__before") + F.col("__more")).select(*bins.columns, "__before")
+    return out.drop("__w")
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -68,8 +90,7 @@ def mix_sources(
     part = F.when(small, (F.conv(F.substring("__h", 1, 4), 16, 10).cast("long") * HASH_BINS / 65536).cast("int")).otherwise(0)
     rows = rows.withColumns({"__g": group, "__b": part})
     bins = rows.groupBy("__source", "__g", "__b").agg(F.count("*").alias("__k"), F.sum("__size").alias("__bytes"))
-    before = Window.partitionBy("__source").orderBy("__g", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0)))
+    bins = _rows_before(bins)
     sizes = bins.groupBy(F.col("__source").alias("source")).agg(F.sum("__bytes").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
