@@ -19,7 +19,7 @@ import regex
 #: The longest word, in bytes, that runs in a matrix of trees.
 MATRIX_WIDTH = 64
 #: Words that an encoder remembers before it forgets them all.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 NO_PAIR = np.int64(1) << 40
 SHIFT = 20
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm.graph import components
-from terravane.llm.shared import discard, materialise, text_chunks
+from terravane.llm.shared import bounded, discard, materialise, text_chunks
 from terravane.llm.words import MIX_A, constants, find_words, mix
 
 #: Texts of a cluster that are verified in one block: few, so that blocks of a large cluster spread evenly; more in very large ones.
@@ -111,7 +111,7 @@ def _sketch(docs: DataFrame, words: int, forest: Forest, depth: int) -> DataFram
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * forest.trees), pa.array(nodes.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(digests, pa.binary()), flat], names=["key", "digest", "nodes"])
 
-    return docs.mapInArrow(run, "key long, digest binary, nodes array<long>")
+    return bounded(docs).mapInArrow(run, "key long, digest binary, nodes array<long>")
 
 
 # verification
@@ -243,7 +243,7 @@ def _attach_sets(members: DataFrame, words: int) -> DataFrame:
                 sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"), words)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "cluster", "block", "blocks", "copies")), sets], names=["node", "cluster", "block", "blocks", "copies", "shingles"])
 
-    return members.mapInArrow(run, "node long, cluster long, block int, blocks int, copies long, shingles binary")
+    return bounded(members).mapInArrow(run, "node long, cluster long, block int, blocks int, copies long, shingles binary")
 
 
 def document_key(id_col: str, text: str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravane.llm.labelled import labelled_sample
-from terravane.llm.shared import text_chunks
+from terravane.llm.shared import bounded, text_chunks
 from terravane.llm.words import MIX_A, find_words, mix, span_hashes
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 12, 1 << 10
@@ -125,7 +125,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, grade: Column, levels: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), *cut], names=["doc_id", "grade", "at", "value"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"doc_id {kind}, grade double, at binary, value binary").toPandas().sort_values("doc_id")
+    rows = bounded(sample).mapInArrow(run, f"doc_id {kind}, grade double, at binary, value binary").toPandas().sort_values("doc_id")
     at = [np.frombuffer(b, np.int16).astype(np.int64) for b in rows["at"]]
     value = [np.frombuffer(b, np.float32).astype(np.float64) for b in rows["value"]]
     x = Sparse(len(rows), np.repeat(np.arange(len(rows)), [len(a) for a in at]), np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0), *value]))
@@ -155,4 +155,4 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, tail: int = 1, least:
                 new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, tail - 1]), pa.array((tails[:, tail - 1] >= least) & wordy)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *new], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from terravane.llm.shared import text_chunks
+from terravane.llm.shared import bounded, text_chunks
 from terravane.llm.words import BASE, MIX_A, MIX_B, Words, find_words, mix, span_hashes
 
 IS_SYMBOL = np.zeros(256, dtype=bool)
@@ -201,4 +201,4 @@ def quality_rules(docs: DataFrame, limits: RepetitionLimits = RepetitionLimits()
                 new = [pa.array(found[c], pa.bool_() if k == "boolean" else pa.int64()) for c, k in FIELDS]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *new], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)

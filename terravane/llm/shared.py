@@ -11,7 +11,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: One chunk of text that a NumPy kernel looks at, in bytes. A longer single text is one chunk.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The table, for a kernel over its texts: batches are cut by bytes, so a batch of long documents doesn't fill a worker. Only ever lowers the session's limit."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:

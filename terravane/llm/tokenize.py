@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravane.llm.bpe import encoder_of, read_spec
-from terravane.llm.shared import materialise, text_chunks
+from terravane.llm.shared import bounded, materialise, text_chunks
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -64,7 +64,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids:
                     new.append(pa.array(plain, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def _count_distinct(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -78,7 +78,7 @@ def _count_distinct(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
                 counts = [len(p) // 4 for p in bpe.encode_texts(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(counts), pa.string()), part.column("digest"), pa.array(counts, pa.int64())], names=["tokenizer", "digest", "n_tokens"])
 
-    return distinct.mapInArrow(run, CACHE_SCHEMA)
+    return bounded(distinct).mapInArrow(run, CACHE_SCHEMA)
 
 
 def open_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from terravane.llm.labelled import labelled_sample
 from terravane.llm.neardup import Forest, forest_labels, shingle_sets
-from terravane.llm.shared import materialise, text_chunks
+from terravane.llm.shared import bounded, materialise, text_chunks
 
 #: Short closed lists of the grammar, in the corpus' languages.
 TARGETS = frozenset("you your yours yourself u he she they him her them du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos ils elles usted ustedes tú ti vosotros ellos ellas".split())
@@ -118,7 +118,8 @@ def grammar() -> Transducer:
 class Lexicon(dict):
     """Symbol and weight of a word, filled in as words are met: learned words and stems, then the lists."""
 
-    MOST = 400_000
+    MOST = 150_000
+    OTHERS = (OTHER, 0.0)
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         super().__init__()
@@ -133,7 +134,7 @@ class Lexicon(dict):
         elif word in QUOTES:
             found = (QUOTE, 0.0)
         else:
-            found = next(((s, 0.0) for s, known in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING), (THREAT, THREATS)) if word in known), (OTHER, 0.0))
+            found = next(((s, 0.0) for s, known in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING), (THREAT, THREATS)) if word in known), self.OTHERS)
         if len(self) > self.MOST:
             self.clear()
         self[word] = found
@@ -194,19 +195,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _term_counts(sample: DataFrame, known: frozenset[str] | None) -> DataFrame:
     """Toxic and clean documents of each word; or, where words are known already, of each stem of the other words."""
 
+    def counted(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+        keys = list(toxic.keys() | clean.keys())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[x] for x in keys], pa.int64()), pa.array([clean[x] for x in keys], pa.int64())], names=["term", "toxic", "clean"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                if len(toxic) + len(clean) > 100_000:
+                    yield counted(toxic, clean)
+                    toxic, clean = Counter(), Counter()
                 words = set(WORDS.findall((text or "").lower()))
                 seen = words if known is None else {w[:n] for w in words - known for n in STEMS if len(w) >= n}
                 (toxic if label >= 0.5 else clean).update(seen)
-        keys = list(toxic.keys() | clean.keys())
-        for k in range(0, len(keys), 50_000):
-            part = keys[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[x] for x in part], pa.int64()), pa.array([clean[x] for x in part], pa.int64())], names=["term", "toxic", "clean"])
+        yield counted(toxic, clean)
 
-    return sample.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return bounded(sample).select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 0.05, rounds: int = 60) -> tuple[float, ...]:
@@ -234,7 +239,7 @@ def _without_near_copies(sample: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near)], names=[*part.schema.names, "near"])
 
     schema = T.StructType([*sample.schema.fields, T.StructField("near", T.LongType())])
-    return sample.mapInArrow(run, schema).groupBy("near", "toxic").agg(F.min("text").alias("text"))
+    return bounded(sample).mapInArrow(run, schema).groupBy("near", "toxic").agg(F.min("text").alias("text"))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 12_000, evidence: float = 12.0, margin: float = 4.5, most: int = 8_192) -> ToxicityModel:
@@ -310,4 +315,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
                 new = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), *new], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)

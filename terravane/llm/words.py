@@ -8,7 +8,6 @@ different words agree with a chance of about 2**-64.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +35,17 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(seed * 0x632BE59BD9B4E019 & MASK)) | np.uint64(1)
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.ones(1, dtype=np.uint64)
-        while len(p) < size:
-            p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-        out.append(p)
-    return out[0], out[1]
+_tables: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, `size` of them at least; kept for the longest data so far."""
+    for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+        while len(_tables[k]) < size:
+            p = _tables[k]
+            more = p[: max(1 << 16, size) - len(p)] if len(p) >= 1 << 16 else p
+            _tables[k] = np.concatenate([p, more * np.uint64(pow(base, len(p), 1 << 64))])
+    return _tables
 
 
 @dataclass
@@ -65,8 +66,7 @@ class Words:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     raw = (total[ends] - total[starts]) * down[starts]
