@@ -71,6 +71,103 @@ def mcp(targets: DataFrame, points: DataFrame, model: DataFrame, marginal: DataF
     return _softmax(sums.withColumn("s", F.log("m") - F.col("n") * F.log("m") + F.col("l")), "s")
 
 
+def mcp_soft(targets: DataFrame, points: DataFrame, model: DataFrame, marginal: DataFrame, classes: Sequence[str], nmax: int, dmax: float, soft: str = "ps") -> DataFrame:
+    """(k, cls, p): the same with class probabilities as data: each neighbour gives ln sum over its classes of P(c, c_k; d_k) ps(c_k)."""
+    near = knn_join(targets, points, nmax, dmax, strict=True).select("k", "id", "d", F.explode(F.arrays_zip(F.array(*map(F.lit, classes)).alias("seen"), F.col(soft).alias("w"))).alias("s")).select("k", "id", "d", "s.seen", "s.w")
+    each = interpolate(model, near).where("cj = seen").groupBy("k", "id", F.col("ci").alias("cls")).agg(F.log(F.greatest(F.sum(F.col("p") * F.col("w")), F.lit(1e-10))).alias("l"))
+    sums = each.groupBy("k", "cls").agg(F.count("*").alias("n"), F.sum("l").alias("l")).join(F.broadcast(marginal.select("cls", F.col("p").alias("m"))), "cls")
+    return _softmax(sums.withColumn("s", F.log("m") - F.col("n") * F.log("m") + F.col("l")), "s")
+
+
+def mcp_stations(points: DataFrame, model: DataFrame, marginal: DataFrame, nmax: int, dmax: float, station: str, label: str = "cls") -> DataFrame:
+    """(k, cls, p): every point from the points of other stations: leave-one-station-out in one join instead of a loop over folds."""
+    own = points.select(F.col("id").alias("k"), "x", "y", F.col(station).alias("__own"))
+    near = range_join(own, points, dmax, strict=True).where(F.col("a.__own") != F.col(f"b.{station}")).select(F.col("a.k").alias("k"), F.col("b.id").alias("id"), F.col(f"b.{label}").alias(label), "d")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("d", "id"))).where(F.col("place") <= nmax)
+    sums = _log_table(near, model, label).join(F.broadcast(marginal.select("cls", F.col("p").alias("m"))), "cls")
+    return _softmax(sums.withColumn("s", F.log("m") - F.col("n") * F.log("m") + F.col("l")), "s")
+
+
+def mcp_regional(targets: DataFrame, points: DataFrame, blended: DataFrame, bins: DataFrame, marginal: DataFrame, nmax: int, dmax: float, label: str = "cls") -> DataFrame:
+    """(k, cls, p): with each target's own blend of regional tables (k, bin, ci, cj, p); bins (bin, lo, hi) say which bin a distance is in."""
+    near = knn_join(targets, points, nmax, dmax, strict=True).select("k", "id", "d", F.col(label).alias("cj"))
+    near = near.join(F.broadcast(bins), (F.col("d") > F.col("lo")) & (F.col("d") <= F.col("hi")))
+    rows = near.join(blended, ["k", "bin", "cj"]).groupBy("k", F.col("ci").alias("cls")).agg(F.count("*").alias("n"), F.sum(F.log(F.greatest("p", F.lit(1e-10)))).alias("l"))
+    sums = rows.join(F.broadcast(marginal.select("cls", F.col("p").alias("m"))), "cls")
+    return _softmax(sums.withColumn("s", F.log("m") - F.col("n") * F.log("m") + F.col("l")), "s")
+
+
+def bme_cat_regional(targets: DataFrame, points: DataFrame, regions: DataFrame, models: Mapping[int, pd.DataFrame], classes: Sequence[str], nmax: int, dmax: float, scale_alpha: float = 0.2, soft: str = "ps") -> DataFrame:
+    """(k, ps): bme_cat with each target's blend of regional table functions, weights exp(-d² / (2 s²)) n**alpha of regions (region, x, y, s, n): some tens of rows."""
+    about = {r["region"]: r for r in regions.collect()}
+    at = {r: model_function(m, classes) for r, m in models.items()}
+    nc = len(classes)
+    told = points.where(F.array_max(soft) - F.array_min(soft) > 1e-12)
+    rows = targets.select("k", "x", "y").join(gather(knn_join(targets, told, nmax, dmax, strict=True), ["x", "y", "d", soft], "near"), "k", "left")
+    spots = [(r, float(a["x"]), float(a["y"]), float(a["s"]), float(a["n"])) for r, a in about.items()]
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in pdf.to_dict("records"):
+            items = row["near"] if isinstance(row["near"], (list, np.ndarray)) else []
+            w = np.array([np.exp(-((row["x"] - x) ** 2 + (row["y"] - y) ** 2) / (2 * s * s)) * n**scale_alpha for _, x, y, s, n in spots])
+            w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
+            c = np.array([[row["x"], row["y"]], *([i["x"], i["y"]] for i in items)])
+            n = len(c)
+            pairs = {(i, j): sum(v * at[s[0]](float(np.hypot(*(c[i] - c[j])))) for v, s in zip(w, spots, strict=True)) for i in range(n) for j in range(i + 1, n)}
+            p = target_posterior(joint_table(pairs, n, nc), [np.asarray(i[soft], float) for i in items]) if n > 1 else np.full(nc, 1 / nc)
+            out.append((row["k"], p.tolist()))
+        return pd.DataFrame(out, columns=["k", "ps"])
+
+    return solve_rows(rows, kernel, "k long, ps array<double>")
+
+
+def tune_regularisation(points: DataFrame, model: DataFrame, classes: Sequence[str], nmax: int, dmax: float, grid: Sequence[float], soft: str = "ps") -> list[tuple[float, float]]:
+    """(reg, score) by leave-one-out: sums of ps · ln(estimate) under the penalised estimator; the best first."""
+    own = points.select(F.col("id").alias("k"), "x", "y", F.col(soft).alias("__truth"))
+    at, nc = model_function(model, classes), len(classes)
+    near = range_join(own, points, dmax, strict=True).where(F.col("a.k") != F.col("b.id")).select(F.col("a.k").alias("k"), F.col("b.id").alias("id"), F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col(f"b.{soft}").alias(soft), "d")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("d", "id"))).where(F.col("place") <= nmax)
+    rows = own.join(gather(near, ["x", "y", "d", soft], "near"), "k")
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in pdf.to_dict("records"):
+            items = [i for i in row["near"] if i["d"] > 0]
+            c = np.array([[row["x"], row["y"]], *([i["x"], i["y"]] for i in items)])
+            pairs = {(i, j): at(float(np.hypot(*(c[i] - c[j])))) for i in range(len(c)) for j in range(i + 1, len(c))}
+            for reg in grid:
+                p = target_posterior(joint_table(pairs, len(c), nc, "MLE_reg", reg=reg), [np.asarray(i[soft], float) for i in items]) if pairs else np.full(nc, 1 / nc)
+                out.append((float(reg), float(np.asarray(row["__truth"]) @ np.log(np.maximum(p, 1e-15)))))
+        return pd.DataFrame(out, columns=["reg", "score"])
+
+    scores = solve_rows(rows, kernel, "reg double, score double").groupBy("reg").agg(F.sum("score").alias("score")).collect()
+    return sorted(((r["reg"], r["score"]) for r in scores), key=lambda v: -v[1])
+
+
+def feature_prior_loocv(points: DataFrame, features: Sequence[str], classes: Sequence[str], station: str, folds: int = 5, **options) -> DataFrame:
+    """(…, prior): priors of each point from a model without its station; stations are dealt to folds by hash, one fit each."""
+    fold = F.pmod(F.xxhash64(station), F.lit(folds))
+    out = None
+    for k in range(folds):
+        part = feature_prior(points.where(fold == k), points.where(fold != k), features, classes, **options)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def tune_bins(points: DataFrame, candidates: Sequence[Sequence[float]], nmax: int, dmax: float, label: str = "cls") -> list[tuple[tuple[float, ...], float]]:
+    """(edges, mean log likelihood) of class tables with each set of bin edges, by leave-one-out conditional probabilities; the best first."""
+    from terravane.operators.ptable import marginals, ptable
+
+    own, out = points.select(F.col("id").alias("k"), "x", "y"), []
+    for edges in candidates:
+        model = ptable(points, edges, label)
+        post = mcp(own, points, model, marginals(model), nmax, dmax, label, exclude_own=True)
+        hit = post.join(points.select(F.col("id").alias("k"), F.col(label).alias("cls")), ["k", "cls"])
+        out.append((tuple(edges), hit.agg(F.avg(F.log(F.greatest("p", F.lit(1e-15))))).first()[0]))
+    return sorted(out, key=lambda v: -(v[1] if v[1] is not None else float("-inf")))
+
+
 def maxent_product(targets: DataFrame, points: DataFrame, model: DataFrame, nmax: int, dmax: float, label: str = "cls") -> DataFrame:
     """(k, cls, p): the pseudo-likelihood table with hard labels, where factors between neighbours cancel: prod P(c, c_k; d_k)."""
     return _softmax(_log_table(knn_join(targets, points, nmax, dmax, strict=True), model, label), "l")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.functions.covariance import Structure, covariance_matrix
 from terravane.functions.smoothing import kernel, local_kernel, neighbour_kernel
 from terravane.operators.joins import block_join, distance, knn_join, knn_spacetime, nearest_distance, range_join
 
@@ -140,6 +142,26 @@ def loocv_bandwidths(points: DataFrame, bandwidths: Sequence[float], reach: floa
     return fits.groupBy("bandwidth").agg(F.avg(F.pow(F.col("za") - F.col("m"), 2.0)).alias("mse"), F.count("m").alias("n"))
 
 
+def gls(f: np.ndarray, z: np.ndarray, k: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, their covariance and fitted values by least squares, generalised with a covariance matrix of the data (some thousand points)."""
+    if k is None:
+        beta = np.linalg.lstsq(f, z, rcond=None)[0]
+        rest = z - f @ beta
+        return beta, np.linalg.pinv(f.T @ f) * float(rest @ rest) / max(1, len(z) - f.shape[1]), f @ beta
+    kf = np.linalg.solve(k, f)
+    cov = np.linalg.pinv(f.T @ kf)
+    beta = cov @ (kf.T @ z)
+    return beta, cov, f @ beta
+
+
+def local_mean(ch: np.ndarray, zh: np.ndarray, cs: np.ndarray, ms: np.ndarray, vs: np.ndarray, structures: Sequence[Structure], order: int = 0) -> np.ndarray:
+    """Generalised least squares mean of hard and soft data (soft variances on the diagonal): coefficients of a polynomial trend."""
+    c = np.vstack([ch, cs])
+    k = covariance_matrix(c, c, structures) + np.diag(np.concatenate([np.zeros(len(ch)), vs]))
+    f = np.hstack([np.ones((len(c), 1)), *(c**p for p in range(1, order + 1))])
+    return gls(f, np.concatenate([zh, ms]), k)[0]
+
+
 def ols_mean(points: DataFrame) -> DataFrame:
     """Constant-trend regression: estimate, its variance and points: one row."""
     return points.agg(F.avg("z").alias("beta"), (F.var_samp("z") / F.count("z")).alias("var_beta"), F.count("z").alias("n"))

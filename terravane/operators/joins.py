@@ -138,3 +138,14 @@ def rotate(points: DataFrame, angle: float, ratio: float, inverse: bool = False)
     turn = iso2aniso_columns if inverse else aniso2iso_columns
     x, y = turn(F.col("x"), F.col("y"), angle, ratio)
     return points.withColumns({"x": x, "y": y})
+
+
+def knn_informative(targets: DataFrame, points: DataFrame, scores: DataFrame, nmax: int, dmax: float) -> DataFrame:
+    """The nmax neighbours nearer than dmax that say most about the target's class: ranked by a score table (d, score), linear between its distances, ties to the nearer and then the smaller id."""
+    order = Window.orderBy("d")  # a model's distances, some tens of rows
+    parts = scores.select(F.col("d").alias("d0"), F.col("score").alias("s0"), F.lead("d").over(order).alias("d1"), F.lead("score").over(order).alias("s1"), F.row_number().over(order).alias("r"))
+    near = range_join(targets, points, dmax, strict=True).select(F.col("a.k").alias("k"), *(F.col(f"b.{c}").alias(c) for c in points.columns), "d")
+    inside = (F.col("d") >= F.col("d0")) & (F.col("d1").isNull() | (F.col("d") < F.col("d1"))) | ((F.col("r") == 1) & (F.col("d") < F.col("d0")))
+    value = F.when(F.col("d1").isNull() | (F.col("d") <= F.col("d0")), F.col("s0")).otherwise(F.col("s0") + (F.col("s1") - F.col("s0")) * (F.col("d") - F.col("d0")) / (F.col("d1") - F.col("d0")))
+    rows = near.join(F.broadcast(parts), inside).withColumn("score", value).drop("d0", "s0", "d1", "s1", "r")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc(F.round("score", 9)), "d", "id"))).where(F.col("place") <= nmax)

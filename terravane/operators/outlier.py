@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.operators.joins import knn_join
+from terravane.operators.joins import knn_join, range_join
 
 
 def zscores(rows: DataFrame, by: str = "site") -> DataFrame:
@@ -71,3 +71,20 @@ def spacetime_outliers(grid: DataFrame, radius: float, nmax: int, bucket: float,
     space = spatial_outliers(points, radius, nmax, k=k).select("id.site", "id.t", F.col("outlier").alias("__space"))
     time = window_outliers(cells.select("site", "t", "z"), bucket, bandwidth, k, by=("site",))
     return time.join(space, ["site", "t"]).select("site", "t", (F.col("outlier") & F.col("__space")).alias("outlier"))
+
+
+def idw_outliers(rows: DataFrame, bandwidth: float, nmax: int, ratio: float, reach: float, k: float = 3.0, by: str = "site") -> DataFrame:
+    """(…, zscore, predicted, outlier): z-scores against the inverse-distance prediction from the nmax nearest values of other sites within `reach` and the time before, up to `bandwidth` back; an outlier differs by more than k. Values without neighbours are none.
+
+    One pass: windows don't exclude earlier outliers (sequential_outliers does).
+    """
+    scored = zscores(rows, by)
+    keyed = scored.select(F.struct(by, "t").alias("__k"), "x", "y", "t", "zscore", F.col(by).alias("__by"))
+    near = range_join(keyed, keyed, reach).where((F.col("a.__by") != F.col("b.__by")) & (F.col("b.t") <= F.col("a.t")) & (F.col("b.t") >= F.col("a.t") - bandwidth))
+    gap = F.sqrt(F.pow("d", 2.0) + F.pow((F.col("a.t") - F.col("b.t")) * ratio, 2.0))
+    near = near.select(F.col("a.__k").alias("__k"), F.col("b.__k").alias("__b"), F.col("b.zscore").alias("z"), gap.alias("g"))
+    near = near.withColumn("__p", F.row_number().over(Window.partitionBy("__k").orderBy("g", "__b"))).where(F.col("__p") <= nmax)
+    w = 1 / F.pow(F.greatest(F.col("g"), F.lit(1e-10)), 2.0)
+    found = near.groupBy("__k").agg((F.sum(w * F.col("z")) / F.sum(w)).alias("predicted"))
+    out = scored.withColumn("__k", F.struct(by, "t")).join(found, "__k", "left").drop("__k")
+    return out.withColumn("outlier", F.coalesce(F.abs(F.col("zscore") - F.col("predicted")) > k, F.lit(False)))

@@ -134,3 +134,45 @@ def regional_blend(targets: DataFrame, regions: DataFrame, tables: DataFrame, sc
     weights = targets.join(r, F.lit(True)).select("k", "region", w.alias("w"))
     weights = weights.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("k")))
     return weights.join(F.broadcast(tables.select("region", "bin", "ci", "cj", "p")), "region").groupBy("k", "bin", "ci", "cj").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
+
+
+def ptable_sectors(points: DataFrame, edges: Sequence[float], angles: Sequence[float], tolerance: float, label: str = "cls") -> DataFrame:
+    """Tables of every direction in one pass: (sector, bin, ci, cj, d, n, p)."""
+    pairs = range_join(points, points, float(edges[-1]))
+    angle = folded_angle(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
+    sectors = F.array_compact(F.array(*(F.when(in_sector(angle, c, tolerance), F.lit(i)) for i, c in enumerate(angles))))
+    rows = pairs.select(F.explode(sectors).alias("sector"), distance_bin(F.col("d"), edges).alias("bin"), "d", F.col(f"a.{label}").alias("ci"), F.col(f"b.{label}").alias("cj")).where("bin is not null")
+    return _shares(rows, ["sector", "bin"])
+
+
+def class_ranges(sectors: DataFrame) -> DataFrame:
+    """(sector, cls, range): the distance at which a class's own probability falls to p_bg + (P0 - p_bg) / e, by linear interpolation between bins; p_bg is the squared marginal."""
+    own = sectors.where("ci = cj").select("sector", F.col("ci").alias("cls"), "bin", "d", "p")
+    order = Window.partitionBy("sector", "cls").orderBy("bin")  # one row for each distance bin
+    first = F.first("p").over(order)
+    level = first * first + (first - first * first) / F.exp(F.lit(1.0))
+    rows = own.withColumns({"level": level, "p0": F.lag("p").over(order), "d0": F.lag("d").over(order)}).where("p <= level AND p0 > level")
+    return rows.groupBy("sector", "cls").agg(F.min_by(F.col("d0") + (F.col("p0") - F.col("level")) / (F.col("p0") - F.col("p")) * (F.col("d") - F.col("d0")), F.col("bin")).alias("range"))
+
+
+def joint_information(model: DataFrame, measure: str = "tv") -> DataFrame:
+    """(d, score) of a table at each of its distances: total variation from independence, or mutual information."""
+    rows, cols = Window.partitionBy("d", "ci"), Window.partitionBy("d", "cj")  # classes squared rows for each distance
+    free = F.sum("p").over(rows) * F.sum("p").over(cols)
+    each = F.abs(F.col("p") - free) / 2 if measure == "tv" else F.when(F.col("p") > 0, F.col("p") * F.log(F.col("p") / free)).otherwise(0.0)
+    return model.withColumn("__e", each).groupBy("d").agg(F.sum("__e").alias("score"))
+
+
+def interpolate_2d(model: DataFrame, at: DataFrame) -> DataFrame:
+    """Bilinear values of a table on a grid (d1, d2, ci, cj, p) at (q1, q2, ...), constant beyond the grid's edges."""
+    names = at.columns
+    grid = [model.select(F.col(c).alias("v")).distinct().agg(F.sort_array(F.collect_list("v")).alias(f"g{i}")) for i, c in enumerate(("d1", "d2"))]  # a grid's axes, some tens of values
+    q = at.crossJoin(F.broadcast(grid[0])).crossJoin(F.broadcast(grid[1]))
+    for i, c in enumerate(("q1", "q2")):
+        v = F.greatest(F.element_at(f"g{i}", 1), F.least(F.element_at(f"g{i}", -1), F.col(c)))
+        at_ = F.greatest(F.lit(1), F.least(F.size(F.filter(f"g{i}", lambda x: x <= F.col(c))), F.size(f"g{i}") - 1))
+        q = q.withColumn(f"lo{i}", F.element_at(f"g{i}", at_)).withColumn(f"hi{i}", F.element_at(f"g{i}", at_ + 1)).withColumn(f"w{i}", (v - F.col(f"lo{i}")) / (F.col(f"hi{i}") - F.col(f"lo{i}")))
+    corners = F.array(*(F.struct(F.col(f"{a}0").alias("c1"), F.col(f"{b}1").alias("c2"), ((F.col("w0") if a == "hi" else 1 - F.col("w0")) * (F.col("w1") if b == "hi" else 1 - F.col("w1"))).alias("w")) for a in ("lo", "hi") for b in ("lo", "hi")))
+    rows = q.select(*names, F.explode(corners).alias("c")).select(*names, "c.c1", "c.c2", "c.w")
+    m = F.broadcast(model)
+    return rows.join(m, (rows["c1"] == m["d1"]) & (rows["c2"] == m["d2"])).groupBy(*names, "ci", "cj").agg(F.sum(F.col("w") * F.col("p")).alias("p"))

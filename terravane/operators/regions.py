@@ -181,10 +181,89 @@ def isotropy_test(spark: SparkSession, c: np.ndarray, z: np.ndarray, lags: Seque
     return {"statistic": seen, "p_value": (1 + stats) / (1 + replicates)}
 
 
+def _class_contrast(c: np.ndarray, cls: np.ndarray, edges: np.ndarray, angles: np.ndarray, angle_tol: float, weights: np.ndarray | None = None) -> float:
+    """The same for classes: ranges at which classes' own joint probabilities fall to 1/e of the way to independence, averaged over classes."""
+    i, j = np.triu_indices(len(c), 1)
+    dx, dy = (c[j] - c[i]).T
+    d, a = np.hypot(dx, dy), np.arctan2(dy, dx)
+    names, share = np.unique(cls, return_counts=True)
+    share = share / len(cls)
+    w = share if weights is None else np.asarray(weights, float)
+    ranges = []
+    for t in angles:
+        near = np.abs((a - t + math.pi / 2) % math.pi - math.pi / 2) <= angle_tol
+        found = []
+        for name, p in zip(names, share, strict=True):
+            both = (cls[i] == name) & (cls[j] == name)
+            curve = [p] + [both[near & (d > lo) & (d <= hi)].mean() if (near & (d > lo) & (d <= hi)).any() else np.nan for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            found.append(_range_of(np.concatenate([[0.0], (edges[:-1] + edges[1:]) / 2]), np.array(curve), p * p + (p - p * p) / math.e))
+        found = np.array(found)
+        ok = np.isfinite(found)
+        ranges.append((found[ok] * w[ok]).sum() / w[ok].sum() if ok.any() else np.nan)
+    r = np.array(ranges)
+    r = r[np.isfinite(r)]
+    return float(r.max() / r.min() - 1) if len(r) > 1 and r.min() > 0 else 0.0
+
+
+def isotropy_test_classes(spark: SparkSession, c: np.ndarray, cls: np.ndarray, edges: Sequence[float], angles: Sequence[float], angle_tol: float, replicates: int = 199, seed: int = 0, weights: Sequence[float] | None = None) -> dict:
+    """Rotation bootstrap of the class ranges' contrast: each replicate turns the whole field by a random angle and draws points with replacement."""
+    edges, angles, w = np.asarray(edges, float), np.asarray(angles, float), None if weights is None else np.asarray(weights, float)
+    seen = _class_contrast(c, cls, edges, angles, angle_tol, w)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for rep in pdf["id"]:
+                rng = np.random.default_rng([seed, int(rep)])
+                a = rng.uniform(0, 2 * math.pi, len(c))
+                r = np.hypot(*(c - c.mean(axis=0)).T)
+                out.append(_class_contrast(np.column_stack([r * np.cos(a), r * np.sin(a)]), cls, edges, angles, angle_tol, w))
+            yield pd.DataFrame({"rep": pdf["id"], "stat": out})
+
+    n = spark.range(replicates).repartition(min(replicates, 32)).mapInPandas(run, "rep long, stat double").agg(F.sum((F.col("stat") >= seen).cast("int")).alias("n")).first()["n"]
+    return {"statistic": seen, "p_value": (1 + n) / (1 + replicates)}
+
+
+def symmetry_test(points_map: pd.DataFrame) -> tuple[float, float]:
+    """From a covariance map (ix, iy, n, cov): the weighted mean squared gap between each cell and its mirror about the axes, with a chi-square p-value by Wilson and Hilferty's normal form."""
+    from terravane.functions.special import normal_cdf
+
+    m = {(r.ix, r.iy): (r.cov, r.n) for r in points_map.itertuples()}
+    stat, k = 0.0, 0
+    scale = max((abs(c) for c, _ in m.values()), default=1.0) or 1.0
+    for (x, y), (c, n) in m.items():
+        if x > 0 and y > 0 and (x, -y) in m:
+            other, n2 = m[x, -y]
+            stat += (c - other) ** 2 / (scale**2 * (1 / n + 1 / n2))
+            k += 1
+    if not k:
+        return 0.0, 1.0
+    return stat, float(1 - normal_cdf(((stat / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))))
+
+
+def loocv_regional(points: DataFrame, regions: DataFrame, stations: Sequence, edges: Sequence[float], classes: Sequence[str], nmax: int, dmax: float, station: str = "station", label: str = "cls") -> DataFrame:
+    """(k, cls, p): each station's points from regional tables of the other stations' points, region labels fixed; a station is one fold. Targets without an estimate have uniform shares."""
+    from terravane.operators.categorical import mcp_regional
+    from terravane.operators.ptable import marginals, regional_blend
+
+    spark, out = points.sparkSession, None
+    bins = spark.createDataFrame([(i, float(edges[i - 1]), float(edges[i])) for i in range(1, len(edges))], "bin int, lo double, hi double")
+    for s in stations:
+        train = points.where(F.col(station) != s)
+        targets = points.where(F.col(station) == s).select(F.col("id").alias("k"), "x", "y")
+        about, tables = regional_models(train, regions, edges, label)
+        blended = regional_blend(targets, about.withColumn("n", F.col("n").cast("double")), tables)
+        part = mcp_regional(targets, train, blended, bins, marginals(ptable(train, edges, label)), nmax, dmax, label)
+        flat = targets.select("k", F.explode(F.array(*map(F.lit, classes))).alias("cls"))
+        part = flat.join(part, ["k", "cls"], "left").select("k", "cls", F.coalesce("p", F.lit(1 / len(classes))).alias("p"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def likelihood_ratio_test(full: float, reduced: float) -> tuple[float, float]:
     """2 (full - reduced) and its chi-square p-value with two degrees of freedom."""
     stat = max(0.0, 2 * (full - reduced))
     return stat, math.exp(-stat / 2)
 
 
-__all__ = ["agglomerate", "dbscan", "ellipse", "isotropy_test", "merge_small", "ptable", "regional_models", "regions_from_features", "regions_from_tables", "table_distance"]
+__all__ = ["agglomerate", "dbscan", "ellipse", "isotropy_test", "isotropy_test_classes", "merge_small", "ptable", "regional_models", "regions_from_features", "regions_from_tables", "symmetry_test", "table_distance"]

@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from terravane.functions.covariance import Structure, directional_range, model_column, model_values, nested_column
-from terravane.operators import dependence, joins, ptable, reshape
+from terravane.functions.covariance import Structure, model_column, nested_column
+from terravane.operators import dependence, joins, plots, ptable, reshape
 from terravane.plans.registry import query, r, rounded
 from terravane.sources.tables import binding
 
@@ -331,13 +331,10 @@ def wls_objective(spark, sf):
     return rounded(c.agg((F.sum(w * F.pow(F.col("cov") - F.col("m"), 2.0)) / F.sum(w)).alias("wls")))
 
 
-DIRECTED = [(round(t, 6), h, float(model_values("exponentialC", h, 2.0, directional_range(8.0, 0.5, t, 0.3)))) for t in ANGLES for h in (1.0, 4.0)]
-
-
 @query("WITH a(theta) AS (VALUES " + ", ".join(f"({t!r}::DOUBLE)" for t in ANGLES) + "), h(lag) AS (VALUES (1.0::DOUBLE), (4.0::DOUBLE)) SELECT round(theta, 6) AS theta, lag, round(2 * exp(-3 * lag / (8 * 0.5 / sqrt(0.25 * pow(cos(theta - 0.3), 2) + pow(sin(theta - 0.3), 2)))), 6) AS cov FROM a CROSS JOIN h")
 def aniso_model_eval(spark, sf):
     """A directional model's covariances: range a·ratio / sqrt(ratio² cos² + sin²)."""
-    return rounded(spark.createDataFrame(DIRECTED, "theta double, lag double, cov double"))
+    return rounded(plots.directional_curves(spark, [Structure("exponentialC", 2.0, (8.0,))], 0.3, 0.5, ANGLES, [1.0, 4.0]))
 
 
 # neighbours
