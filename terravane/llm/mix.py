@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.llm.shared import materialise
+
 #: Bins of the order within a source: documents of one size group are dealt over so many by hash.
 HASH_BINS = 64
 #: Size groups that are summed together first.
@@ -90,6 +92,7 @@ def mix_sources(
     part = F.when(small, (F.conv(F.substring("__h", 1, 4), 16, 10).cast("long") * HASH_BINS / 65536).cast("int")).otherwise(0)
     rows = rows.withColumns({"__g": group, "__b": part})
     bins = rows.groupBy("__source", "__g", "__b").agg(F.count("*").alias("__k"), F.sum("__size").alias("__bytes"))
+    bins, _ = materialise(bins, "bins")  # read several times below; the texts are not
     bins = _rows_before(bins)
     sizes = bins.groupBy(F.col("__source").alias("source")).agg(F.sum("__bytes").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
