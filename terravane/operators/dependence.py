@@ -125,17 +125,23 @@ def pair_distances(points: DataFrame, radius: float, by: str | None = None) -> D
     return pair_join(points, radius, own=False).where("d > 0").select("d", same.alias("same"))
 
 
-def distance_quantiles(points: DataFrame, radius: float, levels: Sequence[float], by: str | None = None) -> DataFrame:
-    """Exact quantiles of pair distances, pairs, and the share within groups: one row."""
+def _quantile(q: float | Sequence[float], accuracy: int | None) -> Column:
+    """Exact, or with ranks within 1 / accuracy: exact ones keep all distinct distances in one state, for some million pairs at most."""
+    levels = F.array(*map(F.lit, q)) if not isinstance(q, float) else F.lit(q)
+    return F.percentile("d", levels) if accuracy is None else F.percentile_approx("d", list(q) if not isinstance(q, float) else q, accuracy)
+
+
+def distance_quantiles(points: DataFrame, radius: float, levels: Sequence[float], by: str | None = None, accuracy: int | None = None) -> DataFrame:
+    """Quantiles of pair distances (exact, or of an accuracy), pairs, and the share within groups: one row."""
     d = pair_distances(points, radius, by)
-    return d.agg(F.count("*").alias("n"), F.avg(F.col("same").cast("double")).alias("same_share"), *(F.percentile("d", F.lit(q)).alias(f"q{round(q * 100)}") for q in levels))
+    return d.agg(F.count("*").alias("n"), F.avg(F.col("same").cast("double")).alias("same_share"), *(_quantile(float(q), accuracy).alias(f"q{round(q * 100)}") for q in levels))
 
 
-def adaptive_edges(points: DataFrame, bins: int, dmax: float, method: str = "equal_pairs", power: float = 1.5, dmin: float | None = None) -> DataFrame:
+def adaptive_edges(points: DataFrame, bins: int, dmax: float, method: str = "equal_pairs", power: float = 1.5, dmin: float | None = None, accuracy: int | None = None) -> DataFrame:
     """Bin edges (bin, edge) from 0: by pair quantiles, by a power law, or logarithmic from dmin."""
     steps = [i / bins for i in range(1, bins + 1)]
     if method == "equal_pairs":
-        row = pair_distances(points, dmax).agg(F.percentile("d", F.array(*map(F.lit, steps))).alias("e"))
+        row = pair_distances(points, dmax).agg(_quantile(steps, accuracy).alias("e"))
         edges = row.select(F.explode(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.col("e")))).alias("edge"))
     else:
         spark = points.sparkSession

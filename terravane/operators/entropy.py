@@ -47,8 +47,13 @@ def histogram(rows: DataFrame, column: str, bins: int = 10) -> DataFrame:
     return equal_bins(rows, column, bins).groupBy(F.col(f"{column}_bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def ecdf(rows: DataFrame, column: str) -> DataFrame:
-    """(value, f): the empirical CDF at each distinct value, from counts; one row per value in one window."""
-    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("value", (F.sum("n").over(upto) / F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("double")).alias("f"))
+def ecdf(rows: DataFrame, column: str, bins: int = 1024) -> DataFrame:
+    """(value, f): the empirical CDF at each distinct value. Counts are summed within equal-width bins, and the bins' own sums over at most `bins` rows, so no window runs over all values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.sum("n").alias("__n"))
+    place = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1)), F.lit(0))
+    binned = counts.crossJoin(F.broadcast(ends)).withColumn("__b", place)  # one row is broadcast
+    sums = binned.groupBy("__b").agg(F.sum("n").alias("k"))
+    before = sums.select("__b", F.coalesce(F.sum("k").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    upto = Window.partitionBy("__b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return binned.withColumn("__own", F.sum("n").over(upto)).join(F.broadcast(before), "__b").select("value", ((F.col("__before") + F.col("__own")) / F.col("__n").cast("double")).alias("f"))  # at most `bins` rows

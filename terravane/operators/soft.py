@@ -6,14 +6,20 @@ the same on a regular grid (start, step, end). A Gaussian datum is (mean, var).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.special import normal_quantile, t_quantile
 
-#: Nodes of the Gaussian form: standard normal quantiles, symmetric; their tails are at 1e-4.
-PROBABILITIES = [0.0001, 0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999]
-NODES = [round(float(normal_quantile(p)), 6) for p in PROBABILITIES]
+# Probabilities and nodes of the 13-node forms.
+GAUSSIAN_PROBABILITIES = [0.0001, 0.001, 0.01, 0.05, 0.3, 0.4, 0.5, 0.6, 0.7, 0.95, 0.99, 0.999, 0.9999]
+STUDENT_NORMAL_PROBABILITIES = [0.00001, 0.001, 0.01, 0.05, 0.3, 0.4, 0.5, 0.6, 0.7, 0.95, 0.99, 0.999, 0.99999]
+STUDENT_PROBABILITIES = [0.001, 0.01, 0.02, 0.05, 0.3, 0.4, 0.5, 0.6, 0.7, 0.95, 0.98, 0.99, 0.999]
+USER_NODES = [-3.719, -3.090, -2.326, -1.645, -0.524, -0.253, 0.000, 0.253, 0.524, 1.645, 2.326, 3.090, 3.719]
+
+NODES = [float(normal_quantile(p)) for p in GAUSSIAN_PROBABILITIES]
 
 
 def _soft(kind: int, limi: Column, dens: Column) -> Column:
@@ -46,23 +52,31 @@ def uniform_nodes(low: Column, high: Column) -> Column:
     return _soft(2, F.array(*(low + (high - low) * (i / 4) for i in range(5))), F.array(d, d, d, d, d))
 
 
-def gaussian(mean: Column, var: Column) -> Column:
-    """A normal density on the 13 fixed nodes, scaled to area 1."""
-    sd = F.sqrt(var)
-    limi = F.array(*(mean + sd * z for z in NODES))
-    raw = F.array(*(F.exp(F.lit(-z * z / 2)) / sd for z in NODES))
+def _nodes(mean: Column, sd: Column, z: list[float], density: list[float]) -> Column:
+    """A linear density on mean + sd z, scaled to area 1."""
+    limi = F.array(*(mean + sd * q for q in z))
+    raw = F.array(*(F.lit(p) / sd for p in density))
     return _soft(2, limi, F.transform(raw, lambda p: p / area(limi, raw)))
 
 
+def gaussian(mean: Column, var: Column) -> Column:
+    """A normal density on 13 fixed quantiles."""
+    return _nodes(mean, F.sqrt(var), NODES, [math.exp(-z * z / 2) for z in NODES])
+
+
+def gaussian_user_nodes(mean: Column, var: Column) -> Column:
+    """A normal density on the 13 rounded nodes of the user-defined form."""
+    return _nodes(mean, F.sqrt(var), USER_NODES, [math.exp(-z * z / 2) for z in USER_NODES])
+
+
 def student_t(mean: Column, var: Column, n: int) -> Column:
-    """13 nodes for a mean of n observations: geometric means of normal and t quantiles times sd / sqrt(n); n <= 1 is normal."""
+    """The density of a mean of n observations on 13 nodes: signed geometric means of normal and t quantiles times sd / sqrt(n); n <= 1 is normal."""
+    sd = F.sqrt(var / max(n, 1))
+    normal = [float(normal_quantile(p)) for p in STUDENT_NORMAL_PROBABILITIES]
     if n <= 1:
-        return gaussian(mean, var)
-    sd = F.sqrt(var / n)
-    z = [0.0 if abs(q) < 1e-9 else (1 if q > 0 else -1) * (abs(q) * abs(t_quantile(p, n - 1))) ** 0.5 for p, q in zip(PROBABILITIES, NODES, strict=True)]
-    limi = F.array(*(mean + sd * q for q in z))
-    raw = F.array(*(F.pow(1 + F.lit(q * q / (n - 1)), -n / 2) / sd for q in z))
-    return _soft(2, limi, F.transform(raw, lambda p: p / area(limi, raw)))
+        return _nodes(mean, sd, normal, [math.exp(-z * z / 2) for z in normal])
+    z = [math.copysign(math.sqrt(abs(q * t_quantile(p, n - 1))), q) if abs(q) > 1e-12 else 0.0 for p, q in zip(STUDENT_PROBABILITIES, normal, strict=True)]
+    return _nodes(mean, sd, z, [(1 + q * q / (n - 1)) ** (-n / 2) for q in z])
 
 
 def normalised(soft: Column) -> Column:
