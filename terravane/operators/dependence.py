@@ -49,12 +49,17 @@ def stcov_sectors(points: DataFrame, lags: Lags, angles: Sequence[float], tolera
     """Covariances of every sector and lag in one pass: (sector, bin, n, cov)."""
     pairs = pair_join(_valued(points), _reach(lags))
     angle = folded_angle(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
-    sectors = F.filter(F.array(*(F.when(in_sector(angle, c, tolerance), F.lit(i)) for i, c in enumerate(angles))), lambda s: s.isNotNull())
-    rows = pairs.select(F.explode(bins_of(F.col("d"), lags)["bin"]).alias("bin"), sectors.alias("sectors"), F.col("a.z").alias("a"), F.col("b.z").alias("b"))
-    rows = rows.select("bin", F.explode("sectors").alias("sector"), "a", "b")
+    # the generator computes the angle once; a projection would be copied into every sector's test
+    rows = pairs.select(F.explode_outer(F.array(angle)).alias("angle"), "d", F.col("a.z").alias("a"), F.col("b.z").alias("b"))
+    rows = rows.select(F.explode(_sectors(F.col("angle"), angles, tolerance)).alias("sector"), "d", "a", "b")
+    rows = rows.select("sector", F.explode(bins_of(F.col("d"), lags)["bin"]).alias("bin"), "a", "b")
     return rows.groupBy("sector", "bin").agg(F.count("*").alias("n"), covariance_of(F.col("a"), F.col("b")).alias("cov"))
 
 
+def _sectors(angle: Column, angles: Sequence[float], tolerance: float) -> Column:
+    return F.array_compact(F.array(*(F.when(in_sector(angle, c, tolerance), F.lit(i)) for i, c in enumerate(angles))))
+
+
 def _site_pairs(grid: DataFrame, reach: float) -> DataFrame:
     sites = grid.groupBy(F.col("site").alias("id")).agg(F.first("x").alias("x"), F.first("y").alias("y"))
     return pair_join(sites, max(reach, 1e-9)).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), "d")

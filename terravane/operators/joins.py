@@ -28,9 +28,7 @@ def distance(a: str, b: str, dims: Sequence[str], p: float = 2) -> Column:
 
 def folded_angle(dx: Column, dy: Column) -> Column:
     """Direction of a difference, folded to (-pi/2, pi/2]; null for no difference."""
-    a = F.atan2(dy, dx)
-    half = math.pi / 2
-    return F.when((dx == 0) & (dy == 0), None).when(a > half, a - math.pi).when(a <= -half, a + math.pi).otherwise(a)
+    return F.when((dx == 0) & (dy == 0), None).when(dx == 0, math.pi / 2).otherwise(F.atan(dy / F.when(dx != 0, dx)))
 
 
 def in_sector(angle: Column, centre: float, tolerance: float) -> Column:

@@ -140,8 +140,9 @@ def ptable_sectors(points: DataFrame, edges: Sequence[float], angles: Sequence[f
     """Tables of every direction in one pass: (sector, bin, ci, cj, d, n, p)."""
     pairs = range_join(points, points, float(edges[-1]))
     angle = folded_angle(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
-    sectors = F.array_compact(F.array(*(F.when(in_sector(angle, c, tolerance), F.lit(i)) for i, c in enumerate(angles))))
-    rows = pairs.select(F.explode(sectors).alias("sector"), distance_bin(F.col("d"), edges).alias("bin"), "d", F.col(f"a.{label}").alias("ci"), F.col(f"b.{label}").alias("cj")).where("bin is not null")
+    rows = pairs.select(F.explode_outer(F.array(angle)).alias("angle"), "d", F.col(f"a.{label}").alias("ci"), F.col(f"b.{label}").alias("cj"))  # the generator computes the angle once
+    sectors = F.array_compact(F.array(*(F.when(in_sector(F.col("angle"), c, tolerance), F.lit(i)) for i, c in enumerate(angles))))
+    rows = rows.select(F.explode(sectors).alias("sector"), distance_bin(F.col("d"), edges).alias("bin"), "d", "ci", "cj").where("bin is not null")
     return _shares(rows, ["sector", "bin"])
 
 
