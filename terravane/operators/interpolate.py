@@ -43,19 +43,35 @@ def idw_spacetime(points: DataFrame, targets: DataFrame, nmax: int, ds: float, d
     return _weighted(near, 1 / F.pow(F.greatest(F.col("d"), F.lit(1e-10)), float(power)), ["k"])
 
 
+#: Places are dealt over so many parts where a join's only key is a cell of time.
+TIME_PARTS = 32
+
+
+def _smooth_by_turns(clean: DataFrame, targets: DataFrame, bs: float, bt: float, reach: float) -> DataFrame:
+    times = targets.select("t").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TIME_PARTS - 1))))
+    dealt = clean.select("x", "y", "t", "z").withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(TIME_PARTS)).cast("int"))
+    near = range_join(times, dealt, bt * reach, dims=("t",)).where(F.col("a.part") == F.col("b.part"))
+    w = F.exp(F.pow(F.col("d") / bt, 2.0) * -3)
+    lines = near.select(F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.col("a.t").alias("t"), F.col("b.z").alias("z"), w.alias("w")).groupBy("x", "y", "t").agg(F.sum(F.col("w") * F.col("z")).alias("s"), F.sum("w").alias("w"))
+    close = range_join(targets, lines, bs * reach).where(F.col("a.t") == F.col("b.t"))
+    u = F.exp(F.pow(F.col("d") / bs, 2.0) * -3)
+    return close.groupBy(F.col("a.k").alias("k")).agg((F.sum(u * F.col("b.s")) / F.sum(u * F.col("b.w"))).alias("z"))
+
+
 def smooth_spacetime(grid: DataFrame, targets: DataFrame, bs: float, bt: float, name: str = "gaussian", truncate: bool = False, reach: float | None = None) -> DataFrame:
     """(k, z): kernel regression with u = (ds / bs)² + (dt / bt)².
 
     Truncated kernels and quadratic ones see data within the bandwidths alone. The
-    Gaussian one sees `reach` bandwidths in space (default 5, beyond which exp(-75) is
-    left of a weight), so that cells, not all pairs, are joined.
+    Gaussian one sees `reach` bandwidths (default 5, beyond which exp(-75) is left of a
+    weight), so that cells, not all pairs, are joined; being a product, it smooths each
+    place in time first and then each time in space.
     """
-    near_only = truncate or not name.startswith("gau")
-    radius = bs if near_only else bs * (reach or 5)
-    rows = range_join(targets, grid.where("z is not null and not isnan(z)"), radius)
+    clean = grid.where("z is not null and not isnan(z)")
+    if not truncate and name.startswith("gau"):
+        return _smooth_by_turns(clean, targets, bs, bt, reach or 5)
+    rows = range_join(targets, clean, bs)
     lag = F.abs(F.col("a.t") - F.col("b.t"))
-    if near_only:
-        rows = rows.where(lag <= bt)
+    rows = rows.where(lag <= bt)
     rows = rows.select(F.col("a.k").alias("k"), F.col("b.z").alias("z"), kernel(name, F.pow(F.col("d") / bs, 2.0) + F.pow(lag / bt, 2.0), truncate).alias("w")).where("w > 0")
     return _weighted(rows, F.col("w"), ["k"])
 

@@ -465,7 +465,7 @@ def tau_search(spark, sf):
     return rounded(evaluate.tune_temper(probable(spark, sf), [0, 1], [0.2, 0.8], [0.25 * i for i in range(5)]))
 
 
-@query("WITH a AS (SELECT id, round(atan2(y - (SELECT avg(y) FROM pts_s), x - (SELECT avg(x) FROM pts_s)), 9) AS a FROM pts_s) SELECT id, place::INTEGER AS place FROM (SELECT id, row_number() OVER (ORDER BY a, id) - 1 AS place FROM a) WHERE place % 3 = 0", "pts_s")
+@query("WITH a AS (SELECT id, ROUND(atan2(y - (SELECT avg(y) FROM pts_s), x - (SELECT avg(x) FROM pts_s)), 9) AS a FROM pts_s) SELECT id, place::INTEGER AS place FROM (SELECT id, row_number() OVER (ORDER BY a, id) - 1 AS place FROM a) WHERE place % 3 = 0", "pts_s")
 def loocv_station_order(spark, sf):
     return evaluate.loocv_stations(suppliers(spark, sf), 3)
 

@@ -9,7 +9,7 @@ from terravane.functions.covariance import Structure
 from terravane.operators import categorical, interpolate, joins, outlier, plots, ptable, regions
 from terravane.plans.queries_dependence import ANGLES, CLASSES, DIST, EDGES, FOLD, MODEL, ORDERED, SHOW, TOLERANCE, sector_sql, shares_sql
 from terravane.plans.queries_estimation import LOGS, MARGINAL, TRIANGLE, Z, class_model, customers, distinct_targets, labelled, suppliers, targets, triangle
-from terravane.plans.registry import ORACLE_SQL, query, rounded
+from terravane.plans.registry import ORACLE_SQL, nudged, query, rounded
 from terravane.sources.tables import binding
 
 SECTOR_ROWS = " UNION ALL ".join(f"SELECT {i} AS sector, * FROM f WHERE {sector_sql('angle', c, TOLERANCE)}" for i, c in enumerate(ANGLES))
@@ -40,7 +40,7 @@ def class_information(spark, sf):
     return rounded(ptable.joint_information(class_model(spark, sf)[0]))
 
 
-@query(f"WITH {ORDERED}, {shares_sql('ordered')}, {INFO}, q AS (SELECT d AS d0, score AS s0, lead(d) OVER w AS d1, lead(score) OVER w AS s1, row_number() OVER w AS r FROM i WINDOW w AS (ORDER BY d)), n AS (SELECT a.k, b.id, {DIST} AS d FROM targets a JOIN pts_c b ON {DIST} < 8), v AS (SELECT k, id, d, CASE WHEN d1 IS NULL OR d <= d0 THEN s0 ELSE s0 + (s1 - s0) * (d - d0) / (d1 - d0) END AS score FROM n JOIN q ON (d >= d0 AND (d1 IS NULL OR d < d1)) OR (r = 1 AND d < d0)), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(score, 9) DESC, d, id) AS place FROM v) SELECT k, id, round(score, 6) AS score, place::INTEGER AS place FROM o WHERE place <= 4", "targets pts_c")
+@query(f"WITH {ORDERED}, {shares_sql('ordered')}, {INFO}, q AS (SELECT d AS d0, score AS s0, lead(d) OVER w AS d1, lead(score) OVER w AS s1, row_number() OVER w AS r FROM i WINDOW w AS (ORDER BY d)), n AS (SELECT a.k, b.id, {DIST} AS d FROM targets a JOIN pts_c b ON {DIST} < 8), v AS (SELECT k, id, d, CASE WHEN d1 IS NULL OR d <= d0 THEN s0 ELSE s0 + (s1 - s0) * (d - d0) / (d1 - d0) END AS score FROM n JOIN q ON (d >= d0 AND (d1 IS NULL OR d < d1)) OR (r = 1 AND d < d0)), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ROUND(score, 9) DESC, d, id) AS place FROM v) SELECT k, id, round(score, 6) AS score, place::INTEGER AS place FROM o WHERE place <= 4", "targets pts_c")
 def knn_informative(spark, sf):
     model, _ = class_model(spark, sf)
     return rounded(joins.knn_informative(targets(spark, sf), customers(spark, sf), ptable.joint_information(model), 4, 8.0).select("k", "id", "score", "place"))
@@ -147,4 +147,4 @@ def windowed_events(spark, sf):
     return rounded(out.select(F.unix_seconds(F.col("window.start").cast("timestamp")).alias("start"), "site", "n", "mean", "sd"))
 
 
-ORACLE_SQL["windowed_events"] = "SELECT (epoch(ts)::BIGINT // 864000) * 864000 AS start, user_id::BIGINT AS site, count(value) AS n, round(avg(value::DOUBLE), 6) AS mean, round(stddev_pop(value::DOUBLE), 6) + 0.0::DOUBLE AS sd FROM events GROUP BY 1, 2"
+ORACLE_SQL["windowed_events"] = nudged("SELECT (epoch(ts)::BIGINT // 864000) * 864000 AS start, user_id::BIGINT AS site, count(value) AS n, round(avg(value::DOUBLE), 6) AS mean, round(stddev_pop(value::DOUBLE), 6) + 0.0::DOUBLE AS sd FROM events GROUP BY 1, 2")
