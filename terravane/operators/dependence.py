@@ -147,7 +147,7 @@ def adaptive_edges(points: DataFrame, bins: int, dmax: float, method: str = "equ
     steps = [i / bins for i in range(1, bins + 1)]
     if method == "equal_pairs":
         row = pair_distances(points, dmax).agg(_quantile(steps, accuracy).alias("e"))
-        edges = row.select(F.explode(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.col("e")))).alias("edge"))
+        edges = row.select(F.explode(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.coalesce(F.col("e"), F.array().cast("array<double>"))))).alias("edge"))
     else:
         spark = points.sparkSession
         if method == "power_law":

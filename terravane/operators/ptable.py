@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,11 +46,16 @@ def ptable(points: DataFrame, edges: Sequence[float], label: str = "cls", group:
 
 
 def _shares(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(…, ci, cj, d, n, p) from pairs: every pair of classes in every bin, 0 where there is none. The table has bins times classes squared rows."""
     cells = rows.groupBy(*by, "ci", "cj").agg(F.count("*").alias("c"), F.sum("d").alias("sd"))
-    all_ = Window.partitionBy(*by)  # at most classes squared rows each
-    total = F.sum("c").over(all_)
-    n = F.when(F.col("bin") == 0, total.cast("double")).otherwise(total / 2.0)
-    return cells.select(*by, "ci", "cj", (F.sum("sd").over(all_) / total).alias("d"), n.alias("n"), (F.col("c") / total.cast("double")).alias("p"))
+    cells = cells.select(*(F.col(c).alias(f"__{c}") for c in (*by, "ci", "cj")), "c", "sd")
+    totals = cells.groupBy(*(F.col(f"__{c}").alias(c) for c in by)).agg(F.sum("c").alias("tc"), F.sum("sd").alias("td"))
+    classes = cells.select("__ci").distinct()
+    grid = totals.crossJoin(F.broadcast(classes.withColumnRenamed("__ci", "ci"))).crossJoin(F.broadcast(classes.withColumnRenamed("__ci", "cj")))  # a table's classes are a handful
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__{c}") for c in (*by, "ci", "cj")])
+    total = F.col("tc").cast("double")
+    n = F.when(F.col("bin") == 0, total).otherwise(total / 2.0)
+    return grid.join(cells, same, "left").select(*by, "ci", "cj", (F.col("td") / total).alias("d"), n.alias("n"), (F.coalesce(F.col("c"), F.lit(0)) / total).alias("p"))
 
 
 def ptable_soft(points: DataFrame, edges: Sequence[float], probabilities: str = "ps") -> DataFrame:
@@ -66,10 +72,8 @@ def ptable_centres(centres: DataFrame, points: DataFrame, edges: Sequence[float]
     pairs = near.alias("u").join(near.alias("v"), (F.col("u.k") == F.col("v.k")) & (F.col("u.id") < F.col("v.id"))).select(F.col("u.k").alias("k"), d.alias("d"), F.col(f"u.{label}").alias("a"), F.col(f"v.{label}").alias("b"))
     rows = pairs.withColumn("bin", distance_bin(F.col("d"), edges)).where("bin is not null")
     both = rows.select("k", "bin", "d", F.explode(F.array(F.struct(F.col("a").alias("ci"), F.col("b").alias("cj")), F.struct(F.col("b").alias("ci"), F.col("a").alias("cj")))).alias("s")).select("k", "bin", "d", "s.ci", "s.cj")
-    cells = both.groupBy("k", "bin", "ci", "cj").agg(F.count("*").alias("c"), F.sum("d").alias("sd"))
-    all_ = Window.partitionBy("k", "bin")
-    total = F.sum("c").over(all_)
-    return cells.select("k", "bin", "ci", "cj", (F.sum("sd").over(all_) / total).alias("d"), (total / 2.0).alias("n"), (F.col("c") / total.cast("double")).alias("p"))
+    halves = _shares(both, ["k", "bin"])  # both orders of each pair
+    return halves.withColumn("n", F.when(F.col("bin") == 0, F.col("n") / 2.0).otherwise(F.col("n")))
 
 
 def ptable_covariate(points: DataFrame, edges: Sequence[float], covariate: str = "z", label: str = "cls") -> DataFrame:

@@ -171,7 +171,14 @@ ORDERED = f"ordered AS (SELECT {BIN} AS bin, d, ca AS ci, cb AS cj, * EXCLUDE (d
 
 
 def shares_sql(source: str, by: str = "bin", where: str = "TRUE") -> str:
-    return f"g AS (SELECT {by}, ci, cj, count(*) AS c, sum(d) AS sd FROM {source} WHERE {where} GROUP BY {by}, ci, cj), tab AS (SELECT {by}, ci, cj, sum(sd) OVER w / sum(c) OVER w AS d, CASE WHEN bin = 0 THEN (sum(c) OVER w)::DOUBLE ELSE sum(c) OVER w / 2.0::DOUBLE END AS n, c / (sum(c) OVER w)::DOUBLE AS p FROM g WINDOW w AS (PARTITION BY {by}))"
+    """Class tables over pairs, with a row for every pair of classes in every bin."""
+    same = " AND ".join(f"g.{c.strip()} = tot.{c.strip()}" for c in by.split(","))
+    keys = ", ".join(f"tot.{c.strip()}" for c in by.split(","))
+    return (
+        f"g AS (SELECT {by}, ci, cj, count(*) AS c, sum(d) AS sd FROM {source} WHERE ({where}) AND bin IS NOT NULL GROUP BY {by}, ci, cj), cl AS (SELECT DISTINCT ci AS cls FROM g), "
+        f"tot AS (SELECT {by}, sum(c)::DOUBLE AS tc, sum(sd) AS td FROM g GROUP BY {by}), tab AS (SELECT {keys}, u.cls AS ci, v.cls AS cj, td / tc AS d, CASE WHEN tot.bin = 0 THEN tc ELSE tc / 2 END AS n, "
+        f"coalesce(g.c, 0) / tc AS p FROM tot CROSS JOIN cl u CROSS JOIN cl v LEFT JOIN g ON {same} AND g.ci = u.cls AND g.cj = v.cls)"
+    )
 
 
 SHOW = "round(d, 6) + 0.0::DOUBLE AS d, n, round(p, 6) AS p FROM tab"
@@ -192,7 +199,7 @@ def ptable_directional(spark, sf):
     return rounded(ptable.ptable(binding(spark, sf, "pts_c"), EDGES, sector=(0.0, TOLERANCE)))
 
 
-@query("WITH u AS (SELECT a.id AS k, b.* FROM pts_s a JOIN pts_c b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 8), q AS (SELECT u.k, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) AS d, u.cls AS a, v.cls AS b FROM u JOIN u v ON u.k = v.k AND u.id < v.id), o AS (SELECT k, " + BIN + " AS bin, d, a AS ci, b AS cj FROM q UNION ALL SELECT k, " + BIN + ", d, b, a FROM q), g AS (SELECT k, bin, ci, cj, count(*) AS c, sum(d) AS sd FROM o WHERE bin IS NOT NULL GROUP BY ALL) SELECT k, bin, ci, cj, round(sum(sd) OVER w / sum(c) OVER w, 6) + 0.0::DOUBLE AS d, sum(c) OVER w / 2.0::DOUBLE AS n, round(c / (sum(c) OVER w)::DOUBLE, 6) AS p FROM g WINDOW w AS (PARTITION BY k, bin)", "pts_s pts_c")
+@query("WITH u AS (SELECT a.id AS k, b.* FROM pts_s a JOIN pts_c b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 8), q AS (SELECT u.k, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) AS d, u.cls AS a, v.cls AS b FROM u JOIN u v ON u.k = v.k AND u.id < v.id), o AS (SELECT k, " + BIN + " AS bin, d, a AS ci, b AS cj FROM q UNION ALL SELECT k, " + BIN + ", d, b, a FROM q), " + shares_sql("o", "k, bin") + " SELECT k, bin, ci, cj, round(d, 6) + 0.0::DOUBLE AS d, CASE WHEN bin = 0 THEN n / 2 ELSE n END AS n, round(p, 6) AS p FROM tab", "pts_s pts_c")
 def ptable_spatial_centres(spark, sf):
     centres = binding(spark, sf, "pts_s").select(F.col("id").alias("k"), "x", "y")
     return rounded(ptable.ptable_centres(centres, binding(spark, sf, "pts_c"), EDGES))

@@ -23,8 +23,10 @@ def duck():
 
 def ordered(df):
     df = df[sorted(df.columns)]
+    df = df.astype({c: "float64" for c in df.columns if str(df[c].dtype) in ("Int64", "Int32")})
     floats = [c for c in df.columns if pd.api.types.is_float_dtype(df[c])]
-    return df.sort_values([c for c in df.columns if c not in floats] + floats).reset_index(drop=True)
+    first = [c for c in df.columns if c not in floats or df[c].isna().any()]
+    return df.sort_values([*first, *(c for c in floats if c not in first)]).reset_index(drop=True)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
