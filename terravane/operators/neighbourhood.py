@@ -24,11 +24,12 @@ def matrix(items, fields: Sequence[str]) -> np.ndarray:
 
 
 def solve_rows(rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies a kernel to batches of gathered rows."""
+    """Applies a kernel to batches of gathered rows, dealt over all shuffle partitions: rows are small and kernels are not, so partitions must not be coalesced by bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 yield kernel(pdf)
 
-    return rows.mapInPandas(run, schema)
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.columns[0])
+    return dealt.mapInPandas(run, schema)
