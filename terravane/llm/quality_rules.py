@@ -19,11 +19,18 @@ IS_SYMBOL[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class RepetitionLimits:
-    """A document stays while at most `covered` of its words lie in repeated substrings of `least_words` or more, and the longest repeat is at most `longest` of its words."""
+    """A document stays while at most `covered` of its words lie in repeated substrings of `least_words` or more, and the longest repeat is at most `longest` of its words.
+
+    The base rule rejects half of the words in repeated three-word windows, which implies
+    `covered` from 0.5 on, and `longest` from 0.25 on as a passage given twice counts twice.
+    `covered` is the share of repeated paragraphs that published web-corpus rules allow; one
+    passage given twice may make a quarter of a text, so `longest` is below half of `covered`
+    and either limit can reject alone.
+    """
 
     least_words: int = 5
-    covered: float = 0.5
-    longest: float = 0.3
+    covered: float = 0.3
+    longest: float = 0.125
 
 
 def suffix_repeats(codes: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -68,6 +68,25 @@ def test_rule_verdicts(spark):
         quality_rules.quality_rules(docs.withColumn("kept", F.lit(1)))
 
 
+def test_each_repetition_limit_rejects_alone():
+    """Documents of 1,000 words that pass the base rule: by passages given twice."""
+
+    def doc(*passages):
+        twice = [[f"p{i}x{j}" for j in range(n)] for i, n in enumerate(passages)]
+        once = [f"u{j}" for j in range(1000 - 2 * sum(passages))]
+        step = len(once) // (2 * len(passages))
+        parts = [w for k, p in enumerate(twice + twice) for w in once[k * step : (k + 1) * step] + p]
+        return " ".join(parts + once[2 * len(passages) * step :])
+
+    texts = [doc(240), doc(140), doc(*[10] * 20), doc(120), doc(10)]
+    found = quality_rules.repetition_columns(pa.array(texts), quality_rules.RepetitionLimits())
+    assert found["n_words"].tolist() == [1000] * 5 and not found["base_failed"].any()
+    assert found["covered_words"].tolist() == [480, 280, 400, 240, 20] and found["longest_repeat"].tolist() == [240, 140, 10, 120, 10]
+    assert found["kept"].tolist() == [False, False, False, True, True]
+    off = [quality_rules.repetition_columns(pa.array(texts), quality_rules.RepetitionLimits(**k))["kept"].tolist() for k in ({"longest": 1.0}, {"covered": 1.0})]
+    assert off == [[False, True, False, True, True], [False, False, True, True, True]]
+
+
 # toxicity
 
 
