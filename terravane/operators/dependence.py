@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.operators.joins import folded_angle, in_sector, pair_join, range_join
+from terravane.operators.joins import block_join, distance, folded_angle, in_sector, pair_join, range_join
 
 Lags = Sequence[tuple[float, float]]  # (lag, tolerance)
 
@@ -124,10 +124,14 @@ def first_crossing(curves: DataFrame, threshold: str = "threshold", value: str =
     return rows.groupBy(*by).agg(F.min_by(crossing, F.col(lag)).alias("range"))
 
 
-def pair_distances(points: DataFrame, radius: float, by: str | None = None) -> DataFrame:
-    """Positive distances of pairs within the radius, with whether both have the same group."""
+def pair_distances(points: DataFrame, radius: float | None, by: str | None = None) -> DataFrame:
+    """Positive distances of all pairs, or of those within a radius, with whether both have the same group."""
     same = F.col(f"a.{by}") == F.col(f"b.{by}") if by else F.lit(True)
-    return pair_join(points, radius, own=False).where("d > 0").select("d", same.alias("same"))
+    if radius is None:
+        pairs = block_join(points, points).where(F.col("a.id") < F.col("b.id")).withColumn("d", distance("a", "b", ("x", "y")))
+    else:
+        pairs = pair_join(points, radius, own=False)
+    return pairs.where("d > 0").select("d", same.alias("same"))
 
 
 def _quantile(q: float | Sequence[float], accuracy: int | None) -> Column:
@@ -136,9 +140,16 @@ def _quantile(q: float | Sequence[float], accuracy: int | None) -> Column:
     return F.percentile("d", levels) if accuracy is None else F.percentile_approx("d", list(q) if not isinstance(q, float) else q, accuracy)
 
 
-def distance_quantiles(points: DataFrame, radius: float, levels: Sequence[float], by: str | None = None, accuracy: int | None = None) -> DataFrame:
-    """Quantiles of pair distances (exact, or of an accuracy), pairs, and the share within groups: one row."""
+def distance_quantiles(points: DataFrame, radius: float | None, levels: Sequence[float], by: str | None = None, accuracy: int | None = None) -> DataFrame:
+    """Quantiles of pair distances (exact, or of an accuracy), pairs, and the share within groups: one row.
+
+    Without a radius, of all pairs, so that a high quantile is the domain's extent; exact
+    ones are then taken over counts of each distance, which fold before the exchange.
+    """
     d = pair_distances(points, radius, by)
+    if radius is None and accuracy is None:
+        counts = d.groupBy("d").agg(F.count("*").alias("n"), F.count("same").alias("told"), F.count_if("same").alias("same"))
+        return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum("same"), F.sum("told")).alias("same_share"), *(F.percentile("d", F.lit(float(q)), F.col("n")).alias(f"q{round(q * 100)}") for q in levels))
     return d.agg(F.count("*").alias("n"), F.avg(F.col("same").cast("double")).alias("same_share"), *(_quantile(float(q), accuracy).alias(f"q{round(q * 100)}") for q in levels))
 
 

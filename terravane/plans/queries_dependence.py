@@ -137,6 +137,12 @@ def pair_distance_quantiles(spark, sf):
     return rounded(dependence.distance_quantiles(binding(spark, sf, "pts_c"), 20.0, [0.5, 0.8, 0.99], by="cls"))
 
 
+@query(f"WITH {PAIRS} SELECT count(*) AS n, round(avg(CASE WHEN ca = cb THEN 1.0::DOUBLE ELSE 0 END), 6) AS same_share, round(quantile_cont(d, 0.5), 6) AS q50, round(quantile_cont(d, 0.8), 6) AS q80, round(quantile_cont(d, 0.99), 6) AS q99 FROM pairs WHERE i < j AND d > 0", "pts_c")
+def pair_distance_quantiles_all(spark, sf):
+    """Over all pairs: q99 is the domain's extent."""
+    return rounded(dependence.distance_quantiles(binding(spark, sf, "pts_c"), None, [0.5, 0.8, 0.99], by="cls"))
+
+
 @query(f"WITH {PAIRS}, e AS (SELECT DISTINCT unnest(list_prepend(0.0::DOUBLE, quantile_cont(d, [0.25, 0.5, 0.75, 1.0]))) AS edge FROM pairs WHERE i < j AND d > 0 AND d <= 12) SELECT (row_number() OVER (ORDER BY edge) - 1)::INTEGER AS bin, round(edge, 6) AS edge FROM e", "pts_c")
 def adaptive_bins_equal_pairs(spark, sf):
     return rounded(dependence.adaptive_edges(binding(spark, sf, "pts_c"), 4, 12.0))
