@@ -149,8 +149,13 @@ def prior_mean(points: DataFrame, targets: DataFrame, bandwidth: float, method:
     return targets.select("k").join(found, "k", "left").crossJoin(F.broadcast(grand)).select("k", F.coalesce("z", "g").alias("m"))
 
 
-def loocv_bandwidths(points: DataFrame, bandwidths: Sequence[float], reach: float, name: str = "gaussian") -> DataFrame:
-    """(bandwidth, mse, n): leave-one-out errors of kernel means, for points with another one within reach."""
+def loocv_bandwidths(points: DataFrame, bandwidths: Sequence[float], reach: float | None = None, name: str = "gaussian") -> DataFrame:
+    """(bandwidth, mse, n): leave-one-out errors of kernel means by all other points; a point without weight is scored with the global mean.
+
+    With a `reach`, by points within it alone, over points that have one. Points without a value take no part.
+    """
+    if reach is None:
+        return _loocv_whole(points.where("z is not null"), list(map(float, bandwidths)), name)
     pairs = range_join(points, points, reach).where(F.col("a.id") != F.col("b.id"))
     rows = pairs.select(F.col("a.id").alias("id"), F.col("a.z").alias("za"), F.col("b.z").alias("zb"), "d", F.explode(F.array(*map(F.lit, map(float, bandwidths)))).alias("bandwidth"))
     w = local_kernel(name, F.col("d"), F.col("bandwidth"))
@@ -158,6 +163,19 @@ def loocv_bandwidths(points: DataFrame, bandwidths: Sequence[float], reach: floa
     return fits.groupBy("bandwidth").agg(F.avg(F.pow(F.col("za") - F.col("m"), 2.0)).alias("mse"), F.count("m").alias("n"))
 
 
+def _loocv_whole(points: DataFrame, widths: list[float], name: str) -> DataFrame:
+    if name.startswith("gau"):
+        pairs = block_join(points, points).withColumn("d", distance("a", "b", ("x", "y")))
+    else:
+        pairs = range_join(points, points, max(widths))  # no weight beyond
+    w = [local_kernel(name, F.col("d"), b) for b in widths]
+    sums = [F.sum(c).alias(f"w{i}") for i, c in enumerate(w)] + [F.sum(c * F.col("b.z")).alias(f"s{i}") for i, c in enumerate(w)]
+    found = pairs.where(F.col("a.id") != F.col("b.id")).groupBy(F.col("a.id").alias("id")).agg(*sums)
+    fits = F.explode(F.array(*(F.struct(F.lit(b).alias("bandwidth"), F.try_divide(f"s{i}", f"w{i}").alias("m")) for i, b in enumerate(widths))))
+    rows = points.select("id", "z").join(found, "id", "left").crossJoin(F.broadcast(points.agg(F.avg("z").alias("g")))).select("z", "g", fits.alias("f"))
+    return rows.groupBy("f.bandwidth").agg(F.avg(F.pow(F.col("z") - F.coalesce("f.m", "g"), 2.0)).alias("mse"), F.count("*").alias("n"))
+
+
 def gls(f: np.ndarray, z: np.ndarray, k: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients, their covariance and fitted values by least squares, generalised with a covariance matrix of the data (some thousand points)."""
     if k is None:

@@ -125,6 +125,12 @@ def bandwidth_loocv(spark, sf):
     return rounded(interpolate.loocv_bandwidths(customers(spark, sf), [2.0, 4.0, 8.0], 12.0))
 
 
+@query(f"WITH w(bandwidth) AS (VALUES (2.0::DOUBLE), (4.0::DOUBLE), (8.0::DOUBLE)), p AS (SELECT a.id, b.z, {DIST} AS d FROM pts_c a JOIN pts_c b ON a.id <> b.id), f AS (SELECT bandwidth, id, sum(z * exp(-0.5 * pow(d / bandwidth, 2))) / nullif(sum(exp(-0.5 * pow(d / bandwidth, 2))), 0) AS m FROM p CROSS JOIN w GROUP BY 1, 2), g AS (SELECT avg(z) AS g FROM pts_c) SELECT w.bandwidth, round(avg(pow(c.z - coalesce(f.m, g.g), 2)), 6) AS mse, count(*) AS n FROM pts_c c CROSS JOIN w CROSS JOIN g LEFT JOIN f ON f.id = c.id AND f.bandwidth = w.bandwidth GROUP BY w.bandwidth", "pts_c")
+def bandwidth_loocv_all(spark, sf):
+    """Every point by all others."""
+    return rounded(interpolate.loocv_bandwidths(customers(spark, sf), [2.0, 4.0, 8.0]))
+
+
 @query(f"WITH n AS (SELECT min({DIST}) AS d FROM pts_c a JOIN pts_c b ON a.id <> b.id AND {DIST} <= 30 GROUP BY a.id) SELECT round(greatest(1.5 * (SELECT quantile_cont(d, 0.5) FROM n), greatest(max(x) - min(x), max(y) - min(y)) / 10), 6) AS bandwidth FROM pts_c", "pts_c")
 def bandwidth_default(spark, sf):
     return rounded(interpolate.default_bandwidth(customers(spark, sf), 30.0))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from terravane.operators import dependence
+from terravane.operators import dependence, interpolate
 
 
 def scattered(spark):
@@ -20,3 +20,15 @@ def test_distance_quantiles_of_all_pairs(spark):
     assert (got["q50"], got["q99"]) == pytest.approx(tuple(np.quantile(d, [0.5, 0.99])))
     rough = dependence.distance_quantiles(df, None, [0.5], accuracy=100).first()
     assert rough["n"] == 5 and rough["q50"] == 495.0
+
+
+@pytest.mark.parametrize("name", ["gaussian", "epanechnikov"])
+def test_loocv_scores_every_point_by_all_others(spark, name):
+    df, xy, z = scattered(spark)
+    d = np.linalg.norm(xy[:, None] - xy[None], axis=2)
+    for row in interpolate.loocv_bandwidths(df, [2.0, 8.0, 200.0], name=name).collect():
+        u2 = (d / row["bandwidth"]) ** 2
+        w = np.exp(-0.5 * u2) if name == "gaussian" else np.maximum(1 - u2, 0)
+        np.fill_diagonal(w, 0)
+        m = np.where(w.sum(axis=1) > 0, w @ z / np.where(w.sum(axis=1) > 0, w.sum(axis=1), 1), z.mean())
+        assert row["n"] == 4 and row["mse"] == pytest.approx(np.mean((z - m) ** 2))
