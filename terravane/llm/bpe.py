@@ -21,6 +21,8 @@ MATRIX_WIDTH = 64
 #: Words that an encoder remembers before it forgets them all.
 MEMO_WORDS = 200_000
 NO_PAIR = np.int64(1) << 40
+#: The same for a leaf of a long word, above any rank * width + position.
+NO_LEAF = 1 << 62
 SHIFT = 20
 
 #: Fixed by the GPT-2 byte-level format: how it cuts a text into words.
@@ -102,7 +104,7 @@ class SegmentTreeBpe:
     def _encode_long(self, word: bytes) -> bytes:
         n = len(word)
         width = 1 << (n - 1).bit_length()
-        sym, none, get = self.first[np.frombuffer(word, np.uint8)].tolist(), int(NO_PAIR), self.by_key.get
+        sym, none, get = self.first[np.frombuffer(word, np.uint8)].tolist(), NO_LEAF, self.by_key.get
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = self._rank(np.array(sym[:-1], dtype=np.int64), np.array(sym[1:], dtype=np.int64))
         leaves = np.full(width, none, dtype=np.int64)

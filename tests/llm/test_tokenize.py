@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terravane.llm import tokenize
-from terravane.llm.bpe import SegmentTreeBpe, read_spec
+from terravane.llm.bpe import SHIFT, SegmentTreeBpe, read_spec
 from tests.llm.cases import documents, empty
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,17 @@ def test_long_and_short_words_take_the_same_merges(own):
         assert own._encode_long(raw) == own._encode_matrix([raw], width)[0]
 
 
+def test_long_words_take_merges_of_any_rank():
+    """Ranks raised by 2**24 make leaves as large as in a word of more than 16 MiB."""
+    plain, raised = SegmentTreeBpe(read_spec(PATH)), SegmentTreeBpe(read_spec(PATH))
+    raised.by_key = {k: r << 24 for k, r in raised.by_key.items()}
+    raised.ranks = raised.ranks << 24
+    raised.merged = {r << 24: m for r, m in enumerate(raised.merged.tolist())}
+    late = max(plain.by_key, key=plain.by_key.get)
+    raw = (b"internationalisation" + plain.token_bytes[late >> SHIFT] + plain.token_bytes[late & ((1 << SHIFT) - 1)]) * 4
+    assert plain._encode_long(raw) == raised._encode_long(raw) != plain.first[np.frombuffer(raw, np.uint8)].astype("<u4").tobytes()
+
+
 def test_ids_that_are_no_utf8_decode_with_replacements(own, library):
     for some in ([255], [447, 222], [128, 129, 130]):
         assert own.decode_ids(np.array(some, "<u4").tobytes()) == library.decode(some, skip_special_tokens=False)
