@@ -601,7 +601,7 @@ def eof(spark, sf):
 @query()
 def mca(spark, sf):
     f = field(spark, sf)
-    s, *_ = multivariate.mca(f.where("c < 16"), f.where("c >= 16 AND c < 32").withColumn("c", F.col("c") - 16), 5)
+    s, *_ = multivariate.mca(f.where("c < 32"), f.where("c >= 32").withColumn("c", F.col("c") - 32), 5)
     return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(s)], "mode int, value double"), 5)
 
 

@@ -2,6 +2,10 @@ import numpy as np
 import pytest
 
 from terravane.operators import dependence, interpolate
+from terravane.plans.queries import QUERIES
+from terravane.sources.tables import binding
+
+SF = "/root/testdata/sf0.001"
 
 
 def scattered(spark):
@@ -32,3 +36,11 @@ def test_loocv_scores_every_point_by_all_others(spark, name):
         np.fill_diagonal(w, 0)
         m = np.where(w.sum(axis=1) > 0, w @ z / np.where(w.sum(axis=1) > 0, w.sum(axis=1), 1), z.mean())
         assert row["n"] == 4 and row["mse"] == pytest.approx(np.mean((z - m) ** 2))
+
+
+def test_mca_uses_all_columns(spark):
+    wide = binding(spark, SF, "field").toPandas().pivot(index="r", columns="c", values="v").to_numpy()
+    x = wide - wide.mean(axis=0)
+    want = np.linalg.svd(x[:, :32].T @ x[:, 32:] / (len(x) - 1))[1][:5]
+    got = QUERIES["mca"](spark, SF).toPandas().sort_values("mode")["value"].to_numpy()
+    assert wide.shape[1] == 64 and got == pytest.approx(want, abs=2e-5)
