@@ -397,6 +397,12 @@ def long_to_grid(spark, sf):
     return rounded(wide.select("x", "y", *(f"t{i}" for i in range(6))))
 
 
+@query("SELECT x, y, " + ", ".join(f"round(avg(z) FILTER (t = {t}), 6) AS t{i}" for i, t in enumerate(TIMES)) + " FROM grid GROUP BY x, y", "grid")
+def long_to_grid_all(spark, sf):
+    """A column for every day of a month."""
+    return rounded(reshape.long_to_grid(binding(spark, sf, "grid"), TIMES))
+
+
 @query("SELECT c.x, c.y, t.t, round(g.z, 6) AS z FROM (SELECT DISTINCT x, y FROM grid) c CROSS JOIN (SELECT unnest(range(1, 32))::DOUBLE AS t) t LEFT JOIN (SELECT x, y, t, avg(z) AS z FROM grid GROUP BY x, y, t) g ON g.x = c.x AND g.y = c.y AND g.t = t.t", "grid")
 def grid_to_long(spark, sf):
     return rounded(reshape.grid_to_long(reshape.long_to_grid(binding(spark, sf, "grid"), TIMES), TIMES))

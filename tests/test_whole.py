@@ -38,6 +38,14 @@ def test_loocv_scores_every_point_by_all_others(spark, name):
         assert row["n"] == 4 and row["mse"] == pytest.approx(np.mean((z - m) ** 2))
 
 
+def test_grid_has_every_day(spark):
+    got = QUERIES["long_to_grid_all"](spark, SF)
+    assert got.columns == ["x", "y", *(f"t{i}" for i in range(31))]
+    days = {r["t"] for r in binding(spark, SF, "grid").select("t").distinct().collect()}
+    row = got.toPandas()
+    assert {float(i + 1) for i in range(31) if row[f"t{i}"].notna().any()} == days and max(days) > 6
+
+
 def test_mca_uses_all_columns(spark):
     wide = binding(spark, SF, "field").toPandas().pivot(index="r", columns="c", values="v").to_numpy()
     x = wide - wide.mean(axis=0)
