@@ -3,9 +3,9 @@
 1. Each text's set of word five-grams is hashed. Texts of equal sets are one class
    of copies; only its representative goes on.
 2. A tree of the forest labels a text with a fixed sequence of MinHashes. Texts
-   meet in a node of the sorted prefix trie when the first d values agree. d
-   starts at the label's full length and is shortened until the chance that a pair of
-   the wanted similarity meets in some tree reaches the target recall.
+   meet when the first d values agree. d is one for all trees and chosen before any
+   data are seen: the greatest at which the chance that a pair of the wanted similarity
+   meets in some tree reaches the target recall. So this is banding, trees × d.
 3. Texts that meet are joined to the node's smallest id, a line per text and tree.
    Components of these lines are clusters: any two texts that met share one.
 4. A cluster's texts are verified in blocks, every pair of a cluster once: set
