@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terravane.llm.shared import discard, materialise
@@ -21,19 +21,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     links = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links, links_at = materialise(links.distinct(), "links")
+    links, links_at = materialise(links.distinct(), "lines")
     labels, at = materialise(links.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
     for _ in range(MOST_ROUNDS):
         near = links.join(labels, links["a"] == labels["node"]).select(F.col("b").alias("node"), "root")
-        least = near.unionByName(labels).groupBy("node").agg(F.min("root").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("__up"))
-        moved = least.join(up, "root").select("node", F.least("root", "__up").alias("root"))
-        new, new_at = materialise(moved, "labels")
-        before = labels.select("node", F.col("root").alias("__old"))
-        changed = new.join(before, "node").where("root <> __old").limit(1).count()
+        own = labels.select("node", "root", F.col("root").alias("old"))
+        least = near.unionByName(own, allowMissingColumns=True).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
+        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        moved = least.join(up, "root").select("node", F.least("root", "up").alias("root"), "old")
+        seen = Observation()
+        moved = moved.observe(seen, F.count(F.when(F.col("root") != F.col("old"), 1)).alias("changed"))
+        new, new_at = materialise(moved.select("node", "root"), "labels")
         discard(spark, at)
         labels, at = new, new_at
-        if not changed:
+        if not seen.get["changed"]:
             break
     else:
         raise RuntimeError("labels still change")

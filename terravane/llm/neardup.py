@@ -1,16 +1,23 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, exact set sizes decide.
 
 1. Each text's set of word five-grams is hashed. Texts of equal sets are one class
-   of copies; only its representative goes on.
-2. A tree of the forest labels a text with a fixed sequence of MinHashes. Texts
-   meet when the first d values agree. d is one for all trees and chosen before any
-   data are seen: the greatest at which the chance that a pair of the wanted similarity
-   meets in some tree reaches the target recall. So this is banding, trees × d.
-3. Texts that meet are joined to the node's smallest id, a line per text and tree.
-   Components of these lines are clusters: any two texts that met share one.
-4. A cluster's texts are verified in blocks, every pair of a cluster once: set
-   intersections come from sparse products of blocks, so pairs never become rows.
-   Components of the verified links are the groups.
+   of copies; only one of them goes on.
+2. A tree of the forest labels a text with a sequence of MinHashes. All labels of a
+   tree are sorted, which makes them a prefix trie: texts under one node of it are
+   neighbours, and the longest prefix that a text shares with any text before it is the
+   one it shares with its neighbour. So one pass over the sorted labels finds, for every
+   text and tree, its longest matched prefix and the first text under that node.
+3. Texts meet where they share a whole label. Matched prefixes are then shortened
+   adaptively: every round verifies the texts that meet, takes the weakest link found, and
+   shortens to the longest prefix at which a pair as weak as that meets in some tree with
+   the target recall. Rounds end when the prefix in use is short enough for the weakest
+   link. If m links lie at one similarity, m of them must all be missed for the rounds to
+   end too early.
+4. Texts that meet form clusters (components of their lines to the nodes' first texts).
+   A cluster's texts are verified in blocks, every pair of a cluster: sizes of set
+   intersections come from matrix products of blocks, so pairs never become rows. A block
+   gives a row for each text (its links) and one for each local root that it connects, so
+   lines stay in proportion to texts. Components of the verified links are the groups.
 """
 
 from __future__ import annotations
@@ -23,34 +30,39 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from terravane.llm.graph import components
-from terravane.llm.shared import bounded, discard, materialise, text_chunks
+from terravane.llm.shared import bounded, discard, free_name, materialise, text_chunks
 from terravane.llm.words import MIX_A, constants, find_words, mix
 
 #: Texts of a cluster that are verified in one block: few, so that blocks of a large cluster spread evenly; more in very large ones.
 BLOCK, LARGEST_BLOCK, MOST_BLOCKS = 128, 1024, 512
+#: Bytes of gram sets that a block should hold; a longer single text is a block by itself.
+BLOCK_BYTES = 16 << 20
 #: Columns of a block's matrix that are multiplied at once.
 COLUMNS = 32_768
+#: Bytes of a label's value: equal MinHashes have equal values, different ones differ but for a chance of 2**-16.
+VALUE_BYTES = 2
 
 
 @dataclass(frozen=True)
 class Forest:
-    """trees, depth: of the forest; recall: that a pair of the wanted similarity must reach."""
+    """trees, depth: of the forest; recall: that the weakest link found must reach."""
 
     trees: int = 24
     depth: int = 8
     recall: float = 0.9999
     seed: int = 1
 
+    def met(self, similarity: float, depth: int) -> float:
+        """The chance that a pair of this similarity shares a prefix of this length in some tree."""
+        return 1 - (1 - similarity**depth) ** self.trees
+
     def prefix(self, similarity: float) -> int:
         """The longest prefix at which a pair of this similarity meets with the wanted recall."""
-        for d in range(self.depth, 1, -1):
-            if 1 - (1 - similarity**d) ** self.trees >= self.recall:
-                return d
-        return 1
+        return next((d for d in range(self.depth, 1, -1) if self.met(similarity, d) >= self.recall), 1)
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -77,48 +89,132 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def forest_labels(sets: list[np.ndarray], forest: Forest, depth: int) -> np.ndarray:
-    """The node of each set in each tree at this depth, as 64-bit numbers (sets × trees)."""
-    full = [s for s in sets if len(s)]
-    out = np.zeros((len(sets), forest.trees), dtype=np.int64)
-    if not full:
-        return out
+def minhashes(sets: list[np.ndarray], forest: Forest) -> np.ndarray:
+    """MinHashes of each set (sets × trees × depth); zeros for empty sets."""
+    out = np.zeros((len(sets), forest.trees * forest.depth), dtype=np.uint32)
     at = np.flatnonzero([len(s) > 0 for s in sets])
+    if not len(at):
+        return out.reshape(len(sets), forest.trees, forest.depth)
+    full = [sets[i] for i in at]
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in full])[:-1]])
     values = (np.concatenate(full) >> np.uint64(32)).astype(np.uint32)
-    flips = (constants(forest.trees * forest.depth, forest.seed) >> np.uint64(16)).astype(np.uint32)
-    scales = (constants(forest.trees * forest.depth, forest.seed + 1) >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
-    least = np.zeros((len(full), forest.trees), dtype=np.uint64)
-    for tree in range(forest.trees):
-        node = np.full(len(full), tree + 1, dtype=np.uint64)
-        for d in range(depth):
-            k = tree * forest.depth + d
-            hashed = (values ^ flips[k]) * scales[k]
-            hashed ^= hashed >> np.uint32(15)
-            node = mix(node * np.uint64(MIX_A) + np.minimum.reduceat(hashed, bounds))
-        least[:, tree] = node
-    out[at] = least.view(np.int64)
-    return out
+    flips = (constants(out.shape[1], forest.seed) >> np.uint64(16)).astype(np.uint32)
+    scales = (constants(out.shape[1], forest.seed + 1) >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
+    for k in range(out.shape[1]):
+        hashed = (values ^ flips[k]) * scales[k]
+        hashed ^= hashed >> np.uint32(15)
+        out[at, k] = np.minimum.reduceat(hashed, bounds)
+    return out.reshape(len(sets), forest.trees, forest.depth)
+
+
+def labels(sets: list[np.ndarray], forest: Forest) -> np.ndarray:
+    """Each set's label in each tree (sets × trees × depth), as big-endian values: their bytes sort as the values do."""
+    return (mix(minhashes(sets, forest).astype(np.uint64)) >> np.uint64(48)).astype(">u2")
 
 
-def _sketch(docs: DataFrame, words: int, forest: Forest, depth: int) -> DataFrame:
+def _binaries(data: bytes, n: int, width: int) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def _sketch(docs: DataFrame, words: int, forest: Forest) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 sets = shingle_sets(part.column("text"), words)
-                nodes = forest_labels(sets, forest, depth)
+                n = len(sets) * forest.trees
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * forest.trees), pa.array(nodes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(digests, pa.binary()), flat], names=["key", "digest", "nodes"])
+                own = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * forest.trees), _binaries(labels(sets, forest).tobytes(), n, forest.depth * VALUE_BYTES))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("body"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), own], names=["key", "body", "digest", "grams", "labels"]
+                )
 
-    return bounded(docs).mapInArrow(run, "key long, digest binary, nodes array<long>")
+    return bounded(docs).mapInArrow(run, "key long, body long, digest binary, grams long, labels array<binary>")
 
 
-# verification
+# the sorted tries
 
 
-def _pack(rows: list[tuple[int, int, np.ndarray]]) -> dict:
-    return {"ids": np.array([r[0] for r in rows], np.int64), "copies": np.array([r[1] for r in rows], np.int64), "sets": [r[2] for r in rows]}
+def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of fixed width as a matrix of bytes."""
+    _, offsets, data = column.buffers()
+    start = np.frombuffer(offsets, np.int32)[column.offset]
+    return np.frombuffer(data, np.uint8)[start : start + len(column) * width].reshape(len(column), width)
+
+
+def _matches(sets: DataFrame, forest: Forest, floor: int) -> tuple[DataFrame, str]:
+    """(a, b, level), and where its table is: under the longest prefix, `level` values, that text `a` shares with texts before it in a tree's sorted labels, `b` is the first. Levels below `floor` are left out.
+
+    The sort deals the tries over all partitions by range; the order ends in the text's
+    digest, so one label that many texts share can be cut too. What crosses a cut is
+    joined by the partitions' first and last rows, two for each.
+    """
+    depth = forest.depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        last_tree, last_label, last_node = -1, np.zeros((1, depth), ">u2"), np.zeros((1, 16), np.uint8)
+        heads = np.zeros((depth + 1, 16), np.uint8)  # the first text under the open node of each level
+
+        def ends(side: int, tree: int, label: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            row = [None, node.tobytes(), None, part, side, tree, label.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+        names = ["a", "b", "level", "part", "side", "tree", "label"]
+        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            tree = batch.column("tree").to_numpy()
+            label = _bytes_of(batch.column("label"), depth * VALUE_BYTES).view(">u2")
+            node = _bytes_of(batch.column("digest"), 16)
+            if last_tree < 0:
+                yield ends(0, int(tree[0]), label[:1], node[:1])
+            same = np.concatenate([last_label, label[:-1]]) == label
+            level = np.where(np.concatenate([[last_tree], tree[:-1]]) == tree, np.cumprod(same, axis=1).sum(axis=1), 0)
+            if last_tree < 0:
+                level[0] = 0
+            known = np.concatenate([heads, node])  # rows of the batch come after the open heads
+            first = np.empty(n, dtype=np.int64)
+            for d in range(depth + 1):
+                here = np.where(level < d, np.arange(depth + 1, depth + 1 + n), 0)
+                here[0] = here[0] or d
+                at = np.maximum.accumulate(here)
+                own = level == d
+                first[own] = at[own]
+                heads[d] = known[at[-1]]
+            met = np.flatnonzero(level >= floor)
+            last_tree, last_label, last_node = int(tree[-1]), label[-1:].copy(), node[-1:].copy()
+            if len(met):
+                empty = pa.nulls(len(met), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [_binaries(node[met].tobytes(), len(met), 16), _binaries(known[first[met]].tobytes(), len(met), 16), pa.array(level[met].astype(np.int32)), empty, empty, empty, pa.nulls(len(met), pa.binary())], names=names
+                )
+        if last_tree >= 0:
+            yield ends(1, last_tree, last_label, last_node)
+
+    order = sets.select("digest", F.posexplode("labels").alias("tree", "label")).orderBy("tree", "label", "digest")
+    found, at = materialise(order.mapInArrow(run, "a binary, b binary, level int, part int, side int, tree int, label binary"), "tries")
+    ends = found.where("part is not null")
+    before = Window.orderBy("part", "side")  # two rows for each partition of the sort
+    cut = ends.select(F.col("b").alias("a"), F.lag("b").over(before).alias("b"), "tree", F.lag("tree").over(before).alias("left"), "label", F.lag("label").over(before).alias("before"))
+    level = F.lit(0)
+    for d in range(1, depth + 1):
+        level = F.when(F.substring("label", 1, d * VALUE_BYTES) == F.substring("before", 1, d * VALUE_BYTES), F.lit(d)).otherwise(level)
+    cut = cut.where("tree = left and a <> b").select("a", "b", level.alias("level")).where(F.col("level") >= floor)
+    return found.where("part is null").select("a", "b", "level").unionByName(cut), at
+
+
+def _lines(matches: DataFrame, depth: int) -> DataFrame:
+    """Lines (a, b) that connect what shares a prefix of `depth` values in some tree: each text to the smallest of its nodes' first texts, and these to one another."""
+    near = matches.where(F.col("level") >= depth).groupBy("a").agg(F.collect_set("b").alias("b"))  # one for each tree at most
+    near = near.select("a", "b", F.array_min("b").alias("least"))
+    return near.select("a", F.col("least").alias("b")).unionByName(near.select(F.explode("b").alias("a"), F.col("least").alias("b")))
+
+
+# verification
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -144,106 +240,158 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np
     return out
 
 
-def _linked(left: dict, right: dict | None, similarity: Fraction) -> np.ndarray:
-    both = _intersections(left["sets"], right and right["sets"])
-    a = np.array([len(s) for s in left["sets"]])[:, None]
-    b = (np.array([len(s) for s in right["sets"]]) if right else a[:, 0])[None, :]
-    linked = both * similarity.denominator >= (a + b - both) * similarity.numerator
-    if right is None:
-        np.fill_diagonal(linked, False)
-    return linked
-
-
-def _found(left: dict, right: dict | None, linked: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(node, root, links, texts): per text its linked documents and texts here, and an edge that spans what is connected here."""
-    if right is None:
-        ids, adjacent = left["ids"], linked
-        links, texts = linked @ left["copies"], linked.sum(axis=1)
-    else:
-        m, n = linked.shape
-        ids = np.concatenate([left["ids"], right["ids"]])
-        adjacent = np.zeros((m + n, m + n), dtype=bool)
-        adjacent[:m, m:], adjacent[m:, :m] = linked, linked.T
-        links = np.concatenate([linked @ right["copies"], linked.T @ left["copies"]])
-        texts = np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
-    some = np.flatnonzero(texts)
-    if not len(some):
-        return
-    adjacent, root = adjacent[np.ix_(some, some)], ids[some]
-    while True:
-        new = np.minimum(root, np.where(adjacent, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (new == root).all():
-            break
-        root = new
-    for i, r in zip(some.tolist(), root.tolist(), strict=True):
-        yield int(ids[i]), r, int(links[i]), int(texts[i])
+@dataclass
+class Block:
+    """Texts of a cluster in the order of their digests: id, documents, gram set, and the place of the smallest text that each is connected to in the block."""
 
+    ids: list[bytes]
+    copies: np.ndarray
+    sets: list[np.ndarray]
+    roots: np.ndarray
+
+    @staticmethod
+    def of(rows: list[dict]) -> Block:
+        rows = sorted({r["digest"]: r for r in rows}.values(), key=lambda r: r["digest"])
+        return Block([r["digest"] for r in rows], np.array([r["copies"] for r in rows], np.int64), [np.frombuffer(r["shingles"], np.uint64) for r in rows], np.arange(len(rows)))
+
+    def similar(self, other: Block | None, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts are linked to which of the other block (or of this one), and how similar they are."""
+        both = _intersections(self.sets, other and other.sets)
+        a = np.array([len(s) for s in self.sets])[:, None]
+        b = (np.array([len(s) for s in other.sets]) if other else a[:, 0])[None, :]
+        union = a + b - both
+        linked = both * similarity.denominator >= union * similarity.numerator
+        if other is None:
+            np.fill_diagonal(linked, False)
+        return linked, both / union
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Runs of rows with equal keys, of batches that are sorted by them."""
-    held, at = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[k] for k in keys)
-            if held and key != at:
-                yield at, held
-                held = []
-            at = key
-            held.append(row)
-    if held:
-        yield at, held
 
+class Roots(dict):
+    """Union-find over text ids; the smallest id of a set is its root."""
 
-FOUND = "node long, root long, links long, texts long, packed binary, cluster long, block int, blocks int"
+    def root(self, at: bytes) -> bytes:
+        while (up := self.setdefault(at, at)) != at:
+            self[at] = at = self[up]
+        return at
+
+    def join(self, a: bytes, b: bytes) -> None:
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+
+
+FOUND = "digest binary, root binary, links long, texts long, weakest double"
+KINDS = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+NAMES = ["digest", "root", "links", "texts", "weakest"]
+PACKED = ", packed binary, cluster binary, block int, blocks int"
+PACKED_KINDS, PACKED_NAMES = [pa.binary(), pa.binary(), pa.int32(), pa.int32()], ["packed", "cluster", "block", "blocks"]
+
+
+def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
 
 
 def _verify(members: DataFrame, similarity: Fraction) -> DataFrame:
-    """Blocks of a cluster: links within a block, and the block itself where the cluster has more."""
+    """Blocks of a cluster: a row for each text with links in its block, and the block itself where the cluster has more."""
+
+    def block_rows(rows: list[dict]) -> Iterator[tuple]:
+        own, blocks = Block.of(rows), rows[0]["blocks"]
+        if len(own.ids) > 1:
+            linked, similar = own.similar(None, similarity)
+            while True:
+                new = np.minimum(own.roots, np.where(linked, own.roots[None, :], len(own.ids)).min(axis=1))
+                if (new == own.roots).all():
+                    break
+                own.roots = new
+            links, texts, weakest = linked @ own.copies, linked.sum(axis=1), np.where(linked, similar, 2.0).min(axis=1)
+            for i in np.flatnonzero(texts).tolist():
+                yield own.ids[i], own.ids[own.roots[i]], int(links[i]), int(texts[i]), float(weakest[i]), None, None, None, None
+        if blocks > 1:
+            yield None, None, None, None, None, pickle.dumps(own), rows[0]["cluster"], rows[0]["block"], blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "root", "links", "texts", "packed", "cluster", "block", "blocks"])
-
-        for (cluster, block), rows in _runs(batches, ["cluster", "block"]):
-            each = {r["node"]: (r["node"], r["copies"], np.frombuffer(r["shingles"], np.uint64)) for r in rows}
-            own, blocks = _pack(list(each.values())), rows[0]["blocks"]
-            if len(each) > 1:
-                out.extend((*f, None, None, None, None) for f in _found(own, None, _linked(own, None, similarity)))
-            if blocks > 1:
-                out.append((None, None, None, None, pickle.dumps(own), cluster, block, blocks))
-            if len(out) > 2000 or blocks > 1:
-                yield flush()
+        held, at, out = [], None, []
+        for row in _rows_of(batches):
+            if held and (row["cluster"], row["block"]) != at:
+                out.extend(block_rows(held))
+                held = []
+                if len(out) > 2000 or (out and out[-1][5]):
+                    yield _batch(out, KINDS + PACKED_KINDS, NAMES + PACKED_NAMES)
+                    out = []
+            at = row["cluster"], row["block"]
+            held.append(row)
+        if held:
+            out.extend(block_rows(held))
         if out:
-            yield flush()
+            yield _batch(out, KINDS + PACKED_KINDS, NAMES + PACKED_NAMES)
 
-    return members.mapInArrow(run, FOUND)
+    return members.mapInArrow(run, FOUND + PACKED)
 
 
 def _verify_pairs(blocks: DataFrame, similarity: Fraction) -> DataFrame:
-    """Pairs of blocks of a cluster."""
+    """Each block against all others of its cluster, which pass by one at a time: a row for each of its texts with links there, and one for each local root that they connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, ["cluster", "i", "j"]):
-            left, right = (pickle.loads(r["packed"]) for r in sorted(rows, key=lambda r: r["block"]))
-            if out := list(_found(left, right, _linked(left, right, similarity))):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "root", "links", "texts"])
-
-    return blocks.mapInArrow(run, "node long, root long, links long, texts long")
-
-
-def _attach_sets(members: DataFrame, words: int) -> DataFrame:
+        at = own = None
+
+        def result() -> Iterator[pa.RecordBatch]:
+            some = np.flatnonzero(texts).tolist()
+            rows = [(own.ids[i], own.ids[i], int(links[i]), int(texts[i]), float(weakest[i])) for i in some]
+            rows += [(r, roots.root(r), 0, 0, None) for r in list(roots)]
+            if rows:
+                yield _batch(rows, KINDS, NAMES)
+
+        for row in _rows_of(batches):
+            here, block = (row["cluster"], row["block"]), pickle.loads(row["packed"])
+            if here != at:
+                if own:
+                    yield from result()
+                at, own, roots = here, block, Roots()  # the block itself is its first row
+                links, texts, weakest = np.zeros(len(own.ids), np.int64), np.zeros(len(own.ids), np.int64), np.full(len(own.ids), 2.0)
+                continue
+            linked, similar = own.similar(block, similarity)
+            if linked.any():
+                links += linked @ block.copies
+                texts += linked.sum(axis=1)
+                weakest = np.minimum(weakest, np.where(linked, similar, 2.0).min(axis=1))
+                i, j = np.nonzero(linked)
+                for code in np.unique(own.roots[i] * len(block.ids) + block.roots[j]).tolist():
+                    roots.join(own.ids[code // len(block.ids)], block.ids[code % len(block.ids)])
+        if own:
+            yield from result()
+
+    return blocks.mapInArrow(run, FOUND)
+
+
+def _gram_sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"), words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "cluster", "block", "blocks", "copies")), sets], names=["node", "cluster", "block", "blocks", "copies", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("copies"), sets], names=["digest", "copies", "shingles"])
 
-    return bounded(members).mapInArrow(run, "node long, cluster long, block int, blocks int, copies long, shingles binary")
+    return bounded(texts).mapInArrow(run, "digest binary, copies long, shingles binary").groupBy("digest").agg(F.first("copies").alias("copies"), F.first("shingles").alias("shingles"))
+
+
+def _links(members: DataFrame, known: DataFrame, similarity: Fraction, tasks: int) -> tuple[DataFrame, float | None]:
+    """Verified links of all texts of the clusters in `members` (digest, cluster, block, blocks) as a table (digest, root, links, texts, weakest), and the weakest of all."""
+    rows = members.join(known, "digest").select("cluster", "block", "blocks", "digest", "copies", "shingles")
+    dealt = rows.repartition(tasks, "cluster", "block").sortWithinPartitions("cluster", "block")
+    verified, at = materialise(_verify(bounded(dealt), similarity), "verified")
+    blocks = verified.where("packed is not null").select("packed", "cluster", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocks = blocks.select("packed", "cluster", "block", (F.col("own") != F.col("block")).alias("passes"))
+    dealt = blocks.repartition(tasks, "cluster", "block").sortWithinPartitions("cluster", "block", "passes")
+    seen = Observation()
+    found = verified.where("packed is null").select(*NAMES).unionByName(_verify_pairs(bounded(dealt), similarity)).observe(seen, F.min("weakest").alias("weakest"))
+    found, _ = materialise(found, "links")
+    discard(members.sparkSession, at)
+    return found, seen.get["weakest"]
 
 
 def document_key(id_col: str, text: str) -> Column:
@@ -251,57 +399,86 @@ def document_key(id_col: str, text: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("no id")))
 
 
+def _body(text: str) -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.xxhash64(F.col(text), F.lit("text"))
+
+
+def _classes(docs: DataFrame, similarity: float, words: int, forest: Forest, id_col: str, text: str) -> DataFrame:
+    """A table (key, body, root, group, copies, links, text_links), one row for each key and text; root is null where a text has no words."""
+    spark, exact = docs.sparkSession, Fraction(similarity).limit_denominator(10_000)
+    texts = docs.select(document_key(id_col, text).alias("key"), _body(text).alias("body"), F.col(text).alias("text"))
+    sketch, sketch_at = materialise(_sketch(texts, words, forest).dropDuplicates(["key", "body"]), "forest")
+    least = F.min(F.struct("key", "body")).alias("first")
+    sets, sets_at = materialise(sketch.where("digest is not null").groupBy("digest").agg(least, F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("labels").alias("labels")), "sets")
+    matches, matches_at = _matches(sets, forest, forest.prefix(similarity))
+    slim = sets.drop("labels")
+    near = matches.select(F.col("a").alias("digest")).unionByName(matches.select(F.col("b").alias("digest"))).distinct().join(slim, "digest")
+    near = near.select("digest", "copies", F.col("first.key").alias("key"), F.col("first.body").alias("body"))
+    known, known_at = materialise(_gram_sets(texts.join(near, ["key", "body"]).select("digest", "copies", "text"), words), "gram-sets")
+
+    depth, weakest, before, found = forest.depth, 1.0, None, None
+    while True:
+        clusters = components(_lines(matches, depth)).join(slim.select("digest", "grams"), F.col("node") == F.col("digest")).select("digest", F.col("root").alias("cluster"), "grams")
+        sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("grams").alias("grams"))
+        if before is not None:  # clusters only grow: one of the same root and size is the same
+            sizes = sizes.join(before, ["cluster", "size"], "left_anti")
+        wide = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("size") / MOST_BLOCKS)))
+        count = F.greatest(F.ceil(F.col("size") / wide), F.least(F.col("size"), F.ceil(F.col("grams") * 8 / BLOCK_BYTES))).cast("int")
+        members = clusters.drop("grams").join(sizes.select("cluster", "size", count.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+        seen = Observation()
+        members, _ = materialise(members.observe(seen, F.count("*").alias("n")), "members")
+        new, least = _links(members, known, exact, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen.get["n"] // (4 * BLOCK))))
+        found = new if found is None else found.join(members.select("digest"), "digest", "left_anti").unionByName(new)
+        weakest = min(weakest, 1.0 if least is None else least)
+        shorter = min(depth, forest.prefix(max(weakest, similarity)))
+        if shorter == depth:
+            break
+        now = members.select("cluster", "size").distinct()
+        before = now if before is None else before.unionByName(now)
+        depth = shorter
+
+    counts = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts")).where("texts > 0")
+    groups = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "digest")
+    names = groups.join(slim, "digest").groupBy("root").agg(F.min("first.key").alias("group"))
+    linked = groups.join(names, "root").join(counts, "digest")
+    rows = slim.join(linked, "digest", "left").select(
+        "digest", "copies", F.coalesce("root", "digest").alias("root"), F.coalesce("group", "first.key").alias("group"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("text_links")
+    )
+    rows, _ = materialise(rows, "classes")  # a plain table: the join below may then split a hot digest
+    out = sketch.select("key", "body", "digest").join(rows, "digest", "left").select(
+        "key", "body", "root", F.coalesce("group", "key").alias("group"), F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"),
+    )
+    out, _ = materialise(out, "groups")
+    discard(spark, sketch_at, sets_at, matches_at, known_at)
+    return out
+
+
 def jaccard_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, forest: Forest = Forest(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, group (the smallest key of its group), copies (documents of the same set of five-grams, itself included), links (other documents of at least `similarity`, copies included) and text_links (different texts among them).
 
-    Documents are told apart by id, null ids by text; rows that repeat an id are one
-    document. Texts of fewer words than a five-gram are one gram of all their words;
-    null texts and texts without words have no grams, no links and a group of their own.
-    Pairs at `similarity` are found with the forest's recall or more, more similar ones
-    almost surely, and every candidate is verified exactly, so no link is false. Other
-    columns take no part. No group of copies, node or cluster is gathered in one task.
+    Ids are cast to long; null ids are told apart by text. Rows that repeat id and text are
+    one document; rows that repeat an id with another text are further ones, with a row
+    each. Texts of fewer words than a five-gram are one gram of all their words; null
+    texts and texts without words have no grams, no links and a group of their own. Very
+    long texts are taken whole; a block of the verification holds one at least. Links as
+    weak as the weakest found meet with the forest's recall or more, and every candidate
+    is verified exactly, so no link is false. An empty table gives an empty result. Other
+    columns, whatever their names, take no part. No group of copies, node or cluster is
+    gathered in one task. The result is a table in the shared folder.
     """
-    spark = docs.sparkSession
-    exact = Fraction(similarity).limit_denominator(10_000)
-    depth = forest.prefix(similarity)
-    texts = docs.select(document_key(id_col, text).alias("key"), F.col(text).alias("text"))
-    sketch, _ = materialise(_sketch(texts, words, forest, depth).dropDuplicates(["key", "digest"]), "forest")
-    sets = sketch.where("digest is not null").groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"))
-    sets, _ = materialise(sets, "sets")
-    met, met_at = materialise(sets.select("node", F.explode("nodes").alias("at")), "trie")
-    sets = sets.drop("nodes")
-    firsts = met.groupBy("at").agg(F.min("node").alias("root"), F.count("*").alias("n")).where("n > 1")
-    lines = met.join(firsts, "at").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    clusters = components(lines)
-    discard(spark, met_at)
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    wide = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("size") / MOST_BLOCKS)))
-    members = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / wide).cast("int"))
-    members = members.select("node", F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(sets.select("node", "copies"), "node")
-    known = _attach_sets(texts.join(members, texts["key"] == members["node"]).drop("key"), words)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = known.repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block")
-    verified, _ = materialise(_verify(dealt, exact), "verified")
-    blocks = verified.where("packed is not null").select("packed", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block")
-    blocks = blocks.select("packed", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = _verify_pairs(blocks.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), exact)
-    links = verified.where("node is not null").select("node", "root", "links", "texts").unionByName(pairs)
-    links, _ = materialise(links, "links")
-    counts = links.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known_sets = sets.join(counts, "node", "left").join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("text_links"))
-    out = sketch.select("key", "digest").join(known_sets, "digest", "left").groupBy("key").agg(
-        F.min(F.coalesce("group", "key")).alias("group"), F.max(F.coalesce("copies", F.lit(1))).alias("copies"), F.max(F.coalesce("links", F.lit(0))).alias("links"), F.max(F.coalesce("text_links", F.lit(0))).alias("text_links")
-    )
-    return out.select("key", "group", "copies", (F.col("links") + F.col("copies") - 1).alias("links"), "text_links")
+    return _classes(docs, similarity, words, forest, id_col, text).drop("body", "root")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The table with one document of each group of jaccard_groups, that of the smallest key; rows that repeat an id leave one row.
+def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, forest: Forest = Forest(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The table with one document of each group of jaccard_groups, that of the smallest key (then text hash).
 
-    Options are those of jaccard_groups.
+    Rows that repeat id and text are one document, of which one row stays; texts without
+    words all stay. An empty table stays empty; columns keep their names, whatever they are.
     """
-    groups = jaccard_groups(docs, id_col=id_col, text=text, **options)
-    kept = groups.where("key = group").select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", document_key(id_col, text)).join(kept, "__key").dropDuplicates(["__key"]).select(*docs.columns)
+    classes = _classes(docs, similarity, words, forest, id_col, text)
+    first = classes.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "body")).alias("first")).select("first.*")
+    key, body = free_name(docs.columns, "key"), free_name(docs.columns, "body")
+    kept = first.unionByName(classes.where("root is null").select("key", "body")).toDF(key, body)
+    return docs.withColumns({key: document_key(id_col, text), body: _body(text)}).join(kept, [key, body]).dropDuplicates([key, body]).select(*docs.columns)

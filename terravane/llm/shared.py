@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,13 +28,14 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session names it; a temporary one where it names none, which only a local session may do."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        kept = spark.sparkContext.getCheckpointDir()
-        base = kept or "file://" + tempfile.mkdtemp(prefix="terravane-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(base)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="terravane-")
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -56,6 +57,14 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """The name with as many underscores behind it as it takes to differ from all taken ones, as Spark compares names."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each."""
     n = batch.num_rows

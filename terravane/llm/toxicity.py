@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravane.llm.labelled import labelled_sample
-from terravane.llm.neardup import Forest, forest_labels, shingle_sets
+from terravane.llm.neardup import Forest, minhashes, shingle_sets
 from terravane.llm.shared import bounded, materialise, text_chunks
 
 #: Short closed lists of the grammar, in the corpus' languages.
@@ -235,7 +235,8 @@ def _without_near_copies(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
-                near = forest_labels(shingle_sets(part.column("text"), 5), forest, forest.depth)[:, 0]
+                pair = minhashes(shingle_sets(part.column("text"), 5), forest)[:, 0].astype(np.uint64)
+                near = (pair[:, 0] << np.uint64(32) | pair[:, 1]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near)], names=[*part.schema.names, "near"])
 
     schema = T.StructType([*sample.schema.fields, T.StructField("near", T.LongType())])

@@ -86,6 +86,72 @@ def test_many_documents_share_a_passage(spark):
     assert all(v[0] == k for k, v in got.items())
 
 
+def test_matches_are_the_longest_shared_prefixes(spark):
+    rng = random.Random(6)
+    forest = neardup.Forest(trees=3, depth=4)
+    labels = {bytes([i]) * 16: [b"".join(bytes([0, rng.randrange(2)]) for _ in range(4)) for _ in range(3)] for i in range(200)}
+    sets = spark.createDataFrame([(bytearray(d), [bytearray(x) for x in own]) for d, own in labels.items()], "digest binary, labels array<binary>").repartition(7)
+    got = [(bytes(r["a"]), bytes(r["b"]), r["level"]) for r in neardup._matches(sets, forest, 2)[0].collect()]
+    assert all(any(labels[a][t][: 2 * n] == labels[b][t][: 2 * n] for t in range(3)) for a, b, n in got)
+    for depth in (4, 3, 2):
+        up = {d: d for d in labels}
+
+        def root(d, up=up):
+            while up[d] != d:
+                d = up[d]
+            return d
+
+        for t in range(3):
+            nodes = {}
+            for d, own in labels.items():
+                a, b = root(d), root(nodes.setdefault(own[t][: 2 * depth], d))
+                up[max(a, b)] = min(a, b)
+        lines = neardup._lines(spark.createDataFrame([(bytearray(a), bytearray(b), n) for a, b, n in got], "a binary, b binary, level int"), depth)
+        found = {bytes(r["node"]): bytes(r["root"]) for r in components(lines).collect()}
+        assert found == {d: root(d) for d in labels if sum(root(x) == root(d) for x in labels) > 1}
+
+
+def test_edges_grow_with_texts_and_not_with_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    base = " ".join(f"b{rng.randrange(500)}" for _ in range(120))
+    texts = sorted(set(family(rng, base, 600, 3)))
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    seen = []
+    monkeypatch.setattr(neardup, "components", lambda edges: (seen.append(edges.distinct().count()), components(edges))[1])
+
+    def most(n):
+        seen.clear()
+        neardup.jaccard_groups(spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")).count()
+        return max(seen)
+
+    few, many = most(200), most(400)
+    assert few < 3 * 200 and many <= 2.1 * few
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    rng = random.Random(9)
+    one, two = (" ".join(f"{c}{rng.randrange(500)}" for _ in range(80)) for c in "ab")
+    rows = [(1, one), (1, two), (1, two), (2, two + " more"), (3, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["key"], r["group"], r["links"]) for r in neardup.jaccard_groups(df).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert sorted(tuple(r) for r in neardup.without_near_duplicates(df).collect()) == sorted([(1, one), (1, two)])
+
+
+def test_prefixes_shorten_for_the_weakest_link(spark):
+    """Pairs from 0.8 to 0.84: all are found, though whole labels miss some of them."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(400):
+        w = [f"v{i}x{k}" for k in range(104)]
+        near = w[: rng.choice([94, 95])]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near + [f"u{i}x{k}" for k in range(len(w) - len(near))]))]
+    grams_ = {i: grams(t) for i, t in rows}
+    sims = [len(grams_[2 * i] & grams_[2 * i + 1]) / len(grams_[2 * i] | grams_[2 * i + 1]) for i in range(400)]
+    assert min(sims) >= 0.8 and max(sims) < 0.85
+    got = neardup.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("links = 1").count() == 800
+
+
 def test_depth_shortens_to_the_target_recall():
     forest = neardup.Forest()
     d = forest.prefix(0.8)
