@@ -131,6 +131,11 @@ def _sketch(docs: DataFrame, words: int, forest: Forest) -> DataFrame:
     return bounded(docs).mapInArrow(run, "key long, body long, digest binary, grams long, labels array<binary>")
 
 
+def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 # the sorted tries
 
 
@@ -141,65 +146,55 @@ def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[start : start + len(column) * width].reshape(len(column), width)
 
 
-def _matches(sets: DataFrame, forest: Forest, floor: int) -> tuple[DataFrame, str]:
-    """(a, b, level), and where its table is: under the longest prefix, `level` values, that text `a` shares with texts before it in a tree's sorted labels, `b` is the first. Levels below `floor` are left out.
+def _matches(labelled: DataFrame, forest: Forest, floor: int) -> tuple[DataFrame, str]:
+    """For a table (node, labels): (a, b, level) and where that table is. Under the longest prefix, `level` values, that node `a` shares with nodes before it in a tree's sorted labels, `b` is the first. Levels below `floor` are left out.
 
-    The sort deals the tries over all partitions by range; the order ends in the text's
-    digest, so one label that many texts share can be cut too. What crosses a cut is
-    joined by the partitions' first and last rows, two for each.
+    The sort deals the tries over all partitions by range; the order ends in the node, so
+    one label that many texts share can be cut too. What crosses a cut is joined by the
+    partitions' first and last rows, two for each.
     """
     depth = forest.depth
+    names = ["a", "b", "level", "part", "side", "tree", "label"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        last_tree, last_label, last_node = -1, np.zeros((1, depth), ">u2"), np.zeros((1, 16), np.uint8)
-        heads = np.zeros((depth + 1, 16), np.uint8)  # the first text under the open node of each level
-
-        def ends(side: int, tree: int, label: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            row = [None, node.tobytes(), None, part, side, tree, label.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+        last_tree, last_label, last_node = -1, np.zeros((1, depth), ">u2"), 0
+        heads = np.zeros(depth + 1, np.int64)  # the first node under the open prefix of each level
 
-        names = ["a", "b", "level", "part", "side", "tree", "label"]
-        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            tree = batch.column("tree").to_numpy()
+            tree, node = batch.column("tree").to_numpy(), batch.column("node").to_numpy()
             label = _bytes_of(batch.column("label"), depth * VALUE_BYTES).view(">u2")
-            node = _bytes_of(batch.column("digest"), 16)
-            if last_tree < 0:
-                yield ends(0, int(tree[0]), label[:1], node[:1])
+            begins = last_tree < 0
+            if begins:
+                yield _batch([(None, int(node[0]), None, part, 0, int(tree[0]), label[0].tobytes())], kinds, names)
             same = np.concatenate([last_label, label[:-1]]) == label
             level = np.where(np.concatenate([[last_tree], tree[:-1]]) == tree, np.cumprod(same, axis=1).sum(axis=1), 0)
-            if last_tree < 0:
-                level[0] = 0
             known = np.concatenate([heads, node])  # rows of the batch come after the open heads
             first = np.empty(n, dtype=np.int64)
             for d in range(depth + 1):
                 here = np.where(level < d, np.arange(depth + 1, depth + 1 + n), 0)
                 here[0] = here[0] or d
                 at = np.maximum.accumulate(here)
-                own = level == d
-                first[own] = at[own]
+                first[level == d] = at[level == d]
                 heads[d] = known[at[-1]]
             met = np.flatnonzero(level >= floor)
-            last_tree, last_label, last_node = int(tree[-1]), label[-1:].copy(), node[-1:].copy()
+            last_tree, last_label, last_node = int(tree[-1]), label[-1:].copy(), int(node[-1])
             if len(met):
-                empty = pa.nulls(len(met), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [_binaries(node[met].tobytes(), len(met), 16), _binaries(known[first[met]].tobytes(), len(met), 16), pa.array(level[met].astype(np.int32)), empty, empty, empty, pa.nulls(len(met), pa.binary())], names=names
-                )
+                none = [pa.nulls(len(met), k) for k in kinds[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(node[met]), pa.array(known[first[met]]), pa.array(level[met].astype(np.int32)), *none], names=names)
         if last_tree >= 0:
-            yield ends(1, last_tree, last_label, last_node)
+            yield _batch([(None, last_node, None, part, 1, last_tree, last_label.tobytes())], kinds, names)
 
-    order = sets.select("digest", F.posexplode("labels").alias("tree", "label")).orderBy("tree", "label", "digest")
-    found, at = materialise(order.mapInArrow(run, "a binary, b binary, level int, part int, side int, tree int, label binary"), "tries")
-    ends = found.where("part is not null")
+    order = labelled.select("node", F.posexplode("labels").alias("tree", "label")).orderBy("tree", "label", "node")
+    found, at = materialise(order.mapInArrow(run, "a long, b long, level int, part int, side int, tree int, label binary"), "tries")
     before = Window.orderBy("part", "side")  # two rows for each partition of the sort
-    cut = ends.select(F.col("b").alias("a"), F.lag("b").over(before).alias("b"), "tree", F.lag("tree").over(before).alias("left"), "label", F.lag("label").over(before).alias("before"))
+    cut = found.where("part is not null").select(F.col("b").alias("a"), F.lag("b").over(before).alias("b"), "tree", F.lag("tree").over(before).alias("left"), "label", F.lag("label").over(before).alias("before"))
     level = F.lit(0)
     for d in range(1, depth + 1):
         level = F.when(F.substring("label", 1, d * VALUE_BYTES) == F.substring("before", 1, d * VALUE_BYTES), F.lit(d)).otherwise(level)
@@ -282,13 +277,8 @@ class Roots(dict):
 FOUND = "digest binary, root binary, links long, texts long, weakest double"
 KINDS = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
 NAMES = ["digest", "root", "links", "texts", "weakest"]
-PACKED = ", packed binary, cluster binary, block int, blocks int"
-PACKED_KINDS, PACKED_NAMES = [pa.binary(), pa.binary(), pa.int32(), pa.int32()], ["packed", "cluster", "block", "blocks"]
-
-
-def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+PACKED = ", packed binary, cluster long, block int, blocks int"
+PACKED_KINDS, PACKED_NAMES = [pa.binary(), pa.int64(), pa.int32(), pa.int32()], ["packed", "cluster", "block", "blocks"]
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -408,18 +398,21 @@ def _classes(docs: DataFrame, similarity: float, words: int, forest: Forest, id_
     """A table (key, body, root, group, copies, links, text_links), one row for each key and text; root is null where a text has no words."""
     spark, exact = docs.sparkSession, Fraction(similarity).limit_denominator(10_000)
     texts = docs.select(document_key(id_col, text).alias("key"), _body(text).alias("body"), F.col(text).alias("text"))
-    sketch, sketch_at = materialise(_sketch(texts, words, forest).dropDuplicates(["key", "body"]), "forest")
+    sketch, sketch_at = materialise(_sketch(texts, words, forest), "forest")
+    own, own_at = materialise(sketch.select("key", "body", "digest", "grams").distinct(), "documents")
+    node = F.xxhash64("digest").alias("node")  # of candidates only: digests that agree in it would be verified together
     least = F.min(F.struct("key", "body")).alias("first")
-    sets, sets_at = materialise(sketch.where("digest is not null").groupBy("digest").agg(least, F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("labels").alias("labels")), "sets")
-    matches, matches_at = _matches(sets, forest, forest.prefix(similarity))
-    slim = sets.drop("labels")
-    near = matches.select(F.col("a").alias("digest")).unionByName(matches.select(F.col("b").alias("digest"))).distinct().join(slim, "digest")
-    near = near.select("digest", "copies", F.col("first.key").alias("key"), F.col("first.body").alias("body"))
+    sets, sets_at = materialise(own.where("digest is not null").groupBy("digest").agg(node, least, F.count("*").alias("copies"), F.max("grams").alias("grams")), "sets")
+    labelled = sketch.where("digest is not null").groupBy("digest").agg(node, F.first("labels").alias("labels"))
+    matches, matches_at = _matches(labelled, forest, forest.prefix(similarity))
+    discard(spark, sketch_at)
+    near = matches.select(F.col("a").alias("node")).unionByName(matches.select(F.col("b").alias("node"))).distinct().join(sets, "node")
+    near, near_at = materialise(near.select("digest", "copies", F.col("first.key").alias("key"), F.col("first.body").alias("body")), "near")  # while small, no text need be shuffled to meet it
     known, known_at = materialise(_gram_sets(texts.join(near, ["key", "body"]).select("digest", "copies", "text"), words), "gram-sets")
 
     depth, weakest, before, found = forest.depth, 1.0, None, None
     while True:
-        clusters = components(_lines(matches, depth)).join(slim.select("digest", "grams"), F.col("node") == F.col("digest")).select("digest", F.col("root").alias("cluster"), "grams")
+        clusters = components(_lines(matches, depth)).join(sets.select("node", "digest", "grams"), "node").select("digest", F.col("root").alias("cluster"), "grams")
         sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("grams").alias("grams"))
         if before is not None:  # clusters only grow: one of the same root and size is the same
             sizes = sizes.join(before, ["cluster", "size"], "left_anti")
@@ -440,18 +433,18 @@ def _classes(docs: DataFrame, similarity: float, words: int, forest: Forest, id_
 
     counts = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts")).where("texts > 0")
     groups = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "digest")
-    names = groups.join(slim, "digest").groupBy("root").agg(F.min("first.key").alias("group"))
+    names = groups.join(sets, "digest").groupBy("root").agg(F.min("first.key").alias("group"))
     linked = groups.join(names, "root").join(counts, "digest")
-    rows = slim.join(linked, "digest", "left").select(
+    rows = sets.join(linked, "digest", "left").select(
         "digest", "copies", F.coalesce("root", "digest").alias("root"), F.coalesce("group", "first.key").alias("group"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("text_links")
     )
     rows, _ = materialise(rows, "classes")  # a plain table: the join below may then split a hot digest
-    out = sketch.select("key", "body", "digest").join(rows, "digest", "left").select(
+    out = own.select("key", "body", "digest").join(rows, "digest", "left").select(
         "key", "body", "root", F.coalesce("group", "key").alias("group"), F.coalesce("copies", F.lit(1)).alias("copies"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"),
     )
     out, _ = materialise(out, "groups")
-    discard(spark, sketch_at, sets_at, matches_at, known_at)
+    discard(spark, own_at, sets_at, matches_at, near_at, known_at)
     return out
 
 

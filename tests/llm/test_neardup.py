@@ -89,9 +89,10 @@ def test_many_documents_share_a_passage(spark):
 def test_matches_are_the_longest_shared_prefixes(spark):
     rng = random.Random(6)
     forest = neardup.Forest(trees=3, depth=4)
-    labels = {bytes([i]) * 16: [b"".join(bytes([0, rng.randrange(2)]) for _ in range(4)) for _ in range(3)] for i in range(200)}
-    sets = spark.createDataFrame([(bytearray(d), [bytearray(x) for x in own]) for d, own in labels.items()], "digest binary, labels array<binary>").repartition(7)
-    got = [(bytes(r["a"]), bytes(r["b"]), r["level"]) for r in neardup._matches(sets, forest, 2)[0].collect()]
+    labels = {i: [b"".join(bytes([0, rng.randrange(2)]) for _ in range(4)) for _ in range(3)] for i in range(200)}
+    labelled = spark.createDataFrame([(d, [bytearray(x) for x in own]) for d, own in labels.items()], "node long, labels array<binary>").repartition(7)
+    matches = neardup._matches(labelled, forest, 2)[0]
+    got = [tuple(r) for r in matches.collect()]
     assert all(any(labels[a][t][: 2 * n] == labels[b][t][: 2 * n] for t in range(3)) for a, b, n in got)
     for depth in (4, 3, 2):
         up = {d: d for d in labels}
@@ -106,8 +107,7 @@ def test_matches_are_the_longest_shared_prefixes(spark):
             for d, own in labels.items():
                 a, b = root(d), root(nodes.setdefault(own[t][: 2 * depth], d))
                 up[max(a, b)] = min(a, b)
-        lines = neardup._lines(spark.createDataFrame([(bytearray(a), bytearray(b), n) for a, b, n in got], "a binary, b binary, level int"), depth)
-        found = {bytes(r["node"]): bytes(r["root"]) for r in components(lines).collect()}
+        found = {r["node"]: r["root"] for r in components(neardup._lines(matches, depth)).collect()}
         assert found == {d: root(d) for d in labels if sum(root(x) == root(d) for x in labels) > 1}
 
 
