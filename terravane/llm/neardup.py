@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from terravane.llm.graph import components
-from terravane.llm.shared import bounded, discard, free_name, materialise, text_chunks
+from terravane.llm.shared import added_name, bounded, discard, materialise, text_chunks
 from terravane.llm.words import MIX_A, constants, find_words, mix
 
 #: Texts of a cluster that are verified in one block: few, so that blocks of a large cluster spread evenly; more in very large ones.
@@ -472,6 +472,6 @@ def without_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int
     """
     classes = _classes(docs, similarity, words, forest, id_col, text)
     first = classes.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "body")).alias("first")).select("first.*")
-    key, body = free_name(docs.columns, "key"), free_name(docs.columns, "body")
+    key, body = added_name(docs.columns, "key"), added_name(docs.columns, "body")
     kept = first.unionByName(classes.where("root is null").select("key", "body")).toDF(key, body)
     return docs.withColumns({key: document_key(id_col, text), body: _body(text)}).join(kept, [key, body]).dropDuplicates([key, body]).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravane.llm.labelled import labelled_sample
-from terravane.llm.shared import bounded, text_chunks
+from terravane.llm.shared import added_name, bounded, text_chunks
 from terravane.llm.words import MIX_A, find_words, mix, span_hashes
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 12, 1 << 10
@@ -136,15 +136,16 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, tail: int = 1, least:
     """Adds expected_grade, tail_probability = P(grade >= `tail`) and kept (it reaches `least`) to every row; `carry` names the columns to keep.
 
     Null and empty texts have no features and are graded by the thresholds alone, then
-    never kept. Copies are graded alike; very long texts are read whole. Raises ValueError
-    where an added column exists already.
+    never kept. Copies and repeated rows are graded alike; very long texts are read whole;
+    a probability of exactly `least` is kept. An empty table gives an empty one. Where a column of the table
+    has an added column's name, the added one gets underscores behind it
+    (shared.added_name).
     """
     kept = docs.columns if carry is None else carry
-    if clash := [c for c in ("expected_grade", "tail_probability", "kept") if c in kept]:
-        raise ValueError(f"columns {clash} exist already")
+    added = (("expected_grade", T.DoubleType()), ("tail_probability", T.DoubleType()), ("kept", T.BooleanType()))
     source = docs.select(*dict.fromkeys([*kept, text]))
     at, text_at = [source.columns.index(c) for c in kept], source.columns.index(text)
-    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(added_name(kept, n), t) for n, t in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

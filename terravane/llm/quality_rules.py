@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from terravane.llm.shared import bounded, text_chunks
+from terravane.llm.shared import added_name, bounded, text_chunks
 from terravane.llm.words import BASE, MIX_A, MIX_B, Words, find_words, mix, span_hashes
 
 IS_SYMBOL = np.zeros(256, dtype=bool)
@@ -190,16 +190,16 @@ def quality_rules(docs: DataFrame, limits: RepetitionLimits = RepetitionLimits()
     """Adds counts, repetition figures and a verdict to every row; `carry` names the columns to keep (all by default).
 
     Null and empty texts have no words and fail the base rule. Every row is judged by its
-    own whole text, so ties, copies and very long texts need no care; a text longer than
-    a chunk is a chunk by itself. Raises ValueError where an added column exists already.
+    own whole text, so ties, copies and repeated rows come out alike; a text longer than
+    a chunk is a chunk by itself. An empty table gives an empty one. Where a column of the table
+    has an added column's name, the added one gets underscores behind it
+    (shared.added_name).
     """
     kept = docs.columns if carry is None else carry
-    if clash := [c for c, _ in FIELDS if c in kept]:
-        raise ValueError(f"columns {clash} exist already")
     source = docs.select(*dict.fromkeys([*kept, text]))
     at = [source.columns.index(c) for c in kept]
     text_at = source.columns.index(text)
-    schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(c, T._parse_datatype_string(k)) for c, k in FIELDS)])
+    schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(added_name(kept, c), T._parse_datatype_string(k)) for c, k in FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,8 +57,8 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def free_name(taken: Iterable[str], name: str) -> str:
-    """The name with as many underscores behind it as it takes to differ from all taken ones, as Spark compares names."""
+def added_name(taken: Iterable[str], name: str) -> str:
+    """The name under which an operator adds a column: with as many underscores behind it as it takes to differ from all taken ones, as Spark compares names."""
     low = {t.lower() for t in taken}
     while name.lower() in low:
         name += "_"

@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insults and threats from a lexicon whose weights are learned
-from labels (whole words and stems), targets, negations and reporting verbs from short
-lists. Transducers for negation, reported speech, target and threat rewrite the symbols
-one after the other; composed, they are one machine that reads a clause once and gives
-each match a weight. A clause's score is the sum of its matches' weights times their
-words' weights; a logistic curve over the clauses' scores, fitted to labels, is the
-document's score.
+Words become symbols: insults from a lexicon whose weights are learned from labels (whole
+words and stems), threats, targets, negations, reporting verbs, intensifiers and words that
+announce a mention from short lists. Transducers for insults, threats, targets, negation and
+reported speech rewrite the symbols in this order; composed, they are one machine that
+reads a clause once. Negation and reported speech change only what is a match already, and
+every state ends with its clause. A match is of a kind (insult, aimed insult, threat, negated,
+reported); a clause holds, for each kind, the sum of its matches' weights times their words'
+weights. How much a kind counts, an insult without a target among them, is fitted to labels:
+a logistic curve over the clauses' sums is the document's score.
 """
 
 from __future__ import annotations
@@ -25,24 +27,39 @@ from pyspark.sql import types as T
 
 from terravane.llm.labelled import labelled_sample
 from terravane.llm.neardup import Forest, minhashes, shingle_sets
-from terravane.llm.shared import bounded, materialise, text_chunks
+from terravane.llm.shared import added_name, bounded, materialise, text_chunks
 
 #: Short closed lists of the grammar, in the corpus' languages.
 TARGETS = frozenset("you your yours yourself u he she they him her them du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos ils elles usted ustedes tú ti vosotros ellos ellas".split())
 NEGATIONS = frozenset("not no never isn't aren't don't nicht kein keine nie niemals ne pas jamais aucun ningún nunca jamás".split())
 REPORTING = frozenset("said says wrote claimed reported quoted according sagte sagt schrieb laut behauptete dit disait écrit selon dijo dice escribió según".split())
-THREATS = frozenset("kill hurt destroy beat burn shoot stab attack töten umbringen schlagen tuer frapper matar golpear".split())
+INTENSIFIERS = frozenset("such so very really total totally complete utter absolute absolutely ganz sehr total völlig so très tellement vraiment muy tan totalmente".split())
+MENTIONS = frozenset("word words term terms spelling wort wörter begriff mot mots terme palabra palabras término".split())
+THREAT_VERBS = "kill hurt destroy beat burn shoot stab attack punch strangle".split()
+THREAT_FORMS = frozenset("töte tötet töten umbringe umbringt umbringen schlage schlägt schlagen tue tuerai tuer frappe frapperai frapper mato mataré matar golpeo golpearé golpear".split())
 
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”„«»]")
 ENDS, QUOTES = frozenset(".!?;:\n"), frozenset("\"“”„«»")
 STEMS = (4, 5, 6, 7)
 
-#: Symbols: other word, insult, threat, target, negation, reporting verb, quotation mark, end of clause; then those that only transducers write.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
-NEGATED, REPORTED, AIMED, THREATENED = range(8, 12)
-SYMBOLS = range(12)
-MATCHES = frozenset((INSULT, NEGATED, REPORTED, AIMED, THREATENED))
+#: Symbols: other word, insult, threat, target, negation, reporting verb, intensifier, mention, quotation mark, end of clause; then those that only transducers write.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSE, MENTION, QUOTE, END = range(10)
+INSULTED, AIMED, THREATENED, NEGATED, REPORTED = MATCHES = range(10, 15)
+SYMBOLS = range(15)
+#: What a kind of match counts against an insult before labels say otherwise, in the order of MATCHES.
+PRIOR = (1.0, 1.5, 1.5, 0.5, 0.6)
+#: The word weight of a threat: its verb isn't in the learned lexicon.
+THREAT_WEIGHT = 3.0
+
+
+def inflected(verb: str) -> set[str]:
+    """English forms of a verb: with s, ed and ing, with and without a doubled last letter or a dropped e."""
+    stem = verb.removesuffix("e")
+    return {verb, verb + "s", verb + "es", *(x + e for x in (stem, verb + verb[-1]) for e in ("ed", "ing"))}
+
+
+THREATS = THREAT_FORMS.union(*map(inflected, THREAT_VERBS))
 
 
 @dataclass
@@ -72,47 +89,61 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return out
 
 
-def negation(scope: int = 3, weight: float = 0.5) -> Transducer:
-    """An insult or threat within `scope` words after a negation is negated."""
+def insult(intense: float = 1.5, more: float = 1.25) -> Transducer:
+    """An insult is a match, unless the word before it announces a mention; it weighs `intense` within two words after an intensifier, `more` right after another insult."""
+    plain, again, mention, near, next_ = range(5)
     arcs: dict = {}
-    for left in range(scope + 1):
-        for symbol in (OTHER, TARGET, REPORT, QUOTE):
-            arcs[left, symbol] = (max(0, left - 1), symbol, 1.0)
-        arcs[left, NEGATION] = (scope, OTHER, 1.0)
-        arcs[left, END] = (0, END, 1.0)
-        for symbol in (INSULT, THREAT):
-            arcs[left, symbol] = (left - 1, NEGATED, weight) if left else (0, symbol, 1.0)
+    for state in range(5):
+        for symbol in SYMBOLS:
+            arcs[state, symbol] = (near if state == next_ and symbol != END else plain, symbol, 1.0)
+        arcs[state, INTENSE] = (next_, OTHER, 1.0)
+        arcs[state, MENTION] = (mention, OTHER, 1.0)
+        arcs[state, INSULT] = (again, INSULTED, {again: more, near: intense, next_: intense}.get(state, 1.0))
+    arcs[mention, INSULT] = (plain, OTHER, 1.0)
     return Transducer(arcs)
 
 
-def reported_speech(weight: float = 0.6) -> Transducer:
-    """Matches after a reporting verb in the clause, or between quotation marks, are reported."""
-    arcs: dict = {(0, REPORT): (1, OTHER, 1.0), (1, END): (0, END, 1.0), (0, QUOTE): (2, OTHER, 1.0), (1, QUOTE): (2, OTHER, 1.0), (2, QUOTE): (0, OTHER, 1.0)}
-    for state in (1, 2):
-        for symbol in (INSULT, THREAT, NEGATED):
-            arcs[state, symbol] = (state, REPORTED, weight)
+def threat(scope: int = 3) -> Transducer:
+    """A threat is a match at the target that follows within `scope` words."""
+    arcs: dict = {}
+    for left in range(scope + 1):
+        for symbol in SYMBOLS:
+            arcs[left, symbol] = (max(0, left - 1), symbol, 1.0)
+        arcs[left, THREAT] = (scope, OTHER, 1.0)
+        arcs[left, END] = (0, END, 1.0)
+        if left:
+            arcs[left, TARGET] = (0, THREATENED, 1.0)
     return Transducer(arcs)
 
 
-def target(weight: float = 1.5) -> Transducer:
+def target() -> Transducer:
     """An insult after a target in the clause is aimed at it."""
-    return Transducer({(0, TARGET): (1, TARGET, 1.0), (1, INSULT): (1, AIMED, weight), (1, END): (0, END, 1.0)})
+    return Transducer({(0, TARGET): (1, TARGET, 1.0), (0, THREATENED): (1, THREATENED, 1.0), (1, INSULTED): (1, AIMED, 1.0), (1, END): (0, END, 1.0)})
 
 
-def threat(scope: int = 3, weight: float = 1.0) -> Transducer:
-    """A threat counts when a target follows within `scope` words."""
+def negation(scope: int = 3) -> Transducer:
+    """A match within `scope` words after a negation is negated."""
     arcs: dict = {}
     for left in range(scope + 1):
-        arcs[left, THREAT] = (scope, OTHER, 1.0)
+        for symbol in SYMBOLS:
+            arcs[left, symbol] = (max(0, left - 1), NEGATED if left and symbol in MATCHES else symbol, 1.0)
+        arcs[left, NEGATION] = (scope, OTHER, 1.0)
         arcs[left, END] = (0, END, 1.0)
-        if left:
-            arcs[left, OTHER] = (left - 1, OTHER, 1.0)
-            arcs[left, TARGET] = (0, THREATENED, weight)
+    return Transducer(arcs)
+
+
+def reported_speech() -> Transducer:
+    """A match after a reporting verb of its clause, or after an opening quotation mark of its clause, is reported."""
+    arcs: dict = {(0, REPORT): (1, OTHER, 1.0), (0, QUOTE): (2, OTHER, 1.0), (2, QUOTE): (0, OTHER, 1.0)}
+    for state in (1, 2):
+        arcs[state, END] = (0, END, 1.0)
+        for symbol in MATCHES:
+            arcs[state, symbol] = (state, REPORTED, 1.0)
     return Transducer(arcs)
 
 
 def grammar() -> Transducer:
-    return compose(compose(negation(), reported_speech()), compose(threat(), target()))
+    return compose(compose(compose(compose(insult(), threat()), target()), negation()), reported_speech())
 
 
 class Lexicon(dict):
@@ -134,7 +165,8 @@ class Lexicon(dict):
         elif word in QUOTES:
             found = (QUOTE, 0.0)
         else:
-            found = next(((s, 0.0) for s, known in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING), (THREAT, THREATS)) if word in known), self.OTHERS)
+            lists = ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING), (THREAT, THREATS), (INTENSE, INTENSIFIERS), (MENTION, MENTIONS))
+            found = next(((s, 0.0) for s, known in lists if word in known), self.OTHERS)
         if len(self) > self.MOST:
             self.clear()
         self[word] = found
@@ -151,26 +183,36 @@ class ClauseScorer:
         for (state, symbol), (nxt, out, weight) in machine.arcs.items():
             self.table[states[state]][symbol] = (states[nxt], out, weight)
 
-    def clauses(self, text: str) -> list[float]:
-        """The scores of the clauses that match."""
+    def clauses(self, text: str) -> list[list[float]]:
+        """For each clause with matches, the sum of weights of each kind."""
         low, get = text.lower(), self.lexicon.__getitem__
         if not any(get(w)[0] in (INSULT, THREAT) for w in set(WORDS.findall(low))):
             return []
-        scores, state, now, table = [], 0, 0.0, self.table
+        found, state, now, table = [], 0, None, self.table
         for symbol, weight in map(get, TOKENS.findall(low)):
             state, out, factor = table[state][symbol]
-            if out in MATCHES:
-                now += factor * (weight or 3.0)
+            if out >= INSULTED:
+                now = now or [0.0] * len(MATCHES)
+                now[out - INSULTED] += factor * (weight or THREAT_WEIGHT)
             if symbol == END and now:
-                scores.append(now)
-                now = 0.0
-        return [*scores, now] if now else scores
+                found.append(now)
+                now = None
+        return [*found, now] if now else found
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        scores = self.clauses(text) if text else []
-        if not scores:
-            return 0.0, 0.0, 0.0
-        return math.log1p(sum(scores)), math.log1p(max(scores)), math.log1p(len(scores))
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Log sums: of all kinds as PRIOR weighs them, of the strongest clause, of the number of clauses; then of each kind alone."""
+        found = self.clauses(text) if text else []
+        if not found:
+            return (0.0,) * N_FEATURES
+        totals = [sum(c[k] for c in found) for k in range(len(MATCHES))]
+        strongest = max(sum(p * x for p, x in zip(PRIOR, c, strict=True)) for c in found)
+        logs = [math.log1p(x) for x in totals]
+        return sum(p * x for p, x in zip(PRIOR, logs, strict=True)), math.log1p(strongest), math.log1p(len(found)), *logs
+
+
+N_FEATURES = 3 + len(MATCHES)
+#: Ridge of the curve: weak for the common features, strong for what a kind counts beyond its prior.
+RIDGE = (0.05, 0.05, 0.05, *[1.0] * len(MATCHES))
 
 
 @dataclass(frozen=True)
@@ -214,11 +256,11 @@ def _term_counts(sample: DataFrame, known: frozenset[str] | None) -> DataFrame:
     return bounded(sample).select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 0.05, rounds: int = 60) -> tuple[float, ...]:
+def fit_curve(x: np.ndarray, y: np.ndarray, l2: tuple[float, ...] = RIDGE, rounds: int = 60) -> tuple[float, ...]:
     """Logistic regression by Newton steps, with intercept."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6, *[l2] * (x.shape[1] - 1)])
+    penalty = np.diag([1e-6, *l2])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + penalty, x.T @ (p - y) + penalty @ w)
@@ -257,7 +299,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 12_000, evid
     n = {r["t"]: r["n"] for r in sample.groupBy((F.col("toxic") >= 0.5).alias("t")).agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(True, 0), n.get(False, 0)
     if not bad or not good:
-        return ToxicityModel({}, {}, (30.0 if bad else -30.0, 0.0, 0.0, 0.0))
+        return ToxicityModel({}, {}, (30.0 if bad else -30.0, *[0.0] * N_FEATURES))
     half = F.pmod(F.xxhash64("near"), F.lit(2)) == 0
     curve = _fit_clauses(sample.where(~half), *_lexicon(sample.where(half), bad / 2, good / 2, evidence, margin, most))
     return ToxicityModel(*_lexicon(sample, bad, good, evidence, margin, most), curve)
@@ -280,14 +322,17 @@ def _lexicon(sample: DataFrame, bad: float, good: float, evidence: float, margin
 def _fit_clauses(sample: DataFrame, words: dict[str, float], stems: dict[str, float]) -> tuple[float, ...]:
     """The curve on documents that the lexicon was not learned from."""
 
+    names = [f"x{k}" for k in range(N_FEATURES)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ClauseScorer(words, stems)
         for batch in batches:
             rows = [scorer.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.float64()) for k in range(3)), batch.column("toxic")], names=["a", "b", "c", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.float64()) for k in range(N_FEATURES)), batch.column("toxic")], names=[*names, "toxic"])
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "a double, b double, c double, toxic double").groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).toPandas().sort_values(["a", "b", "c"])
-    x = np.repeat(rows[["a", "b", "c"]].to_numpy(dtype=float), 2, axis=0)
+    schema = ", ".join(f"{n} double" for n in [*names, "toxic"])
+    rows = sample.select("text", "toxic").mapInArrow(run, schema).groupBy(*names).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).toPandas().sort_values(names)
+    x = np.repeat(rows[names].to_numpy(dtype=float), 2, axis=0)
     y = np.tile([1.0, 0.0], len(rows))
     count = np.column_stack([rows["t"], rows["n"] - rows["t"]]).ravel().round().astype(int)
     return fit_curve(np.repeat(x, count, axis=0), np.repeat(y, count))
@@ -297,16 +342,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     """Adds score (0 to 1) and predicted (1 where the score reaches the threshold) to every row; `carry` names the columns to keep.
 
     Null and empty texts have no clauses and score as documents without matches do. A
-    score depends on the row's whole text alone, so copies score alike. Raises ValueError
-    where an added column exists already. The model, its lexicon of bounded size, goes to
-    the executors.
+    score depends on the row's whole text alone, however long, so copies, repeated rows and
+    equal ids score alike; ties at the threshold are predicted 1. An empty table gives an
+    empty result. Where a column of the table has an added column's name, the added one gets
+    underscores behind it (shared.added_name). The model, its lexicon of bounded size,
+    goes to the executors.
     """
     kept = docs.columns if carry is None else carry
-    if clash := [c for c in ("score", "predicted") if c in kept]:
-        raise ValueError(f"columns {clash} exist already")
     source = docs.select(*dict.fromkeys([*kept, text]))
     at, text_at = [source.columns.index(c) for c in kept], source.columns.index(text)
-    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(added_name(kept, "score"), T.DoubleType()), T.StructField(added_name(kept, "predicted"), T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()

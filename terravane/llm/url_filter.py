@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terravane.llm.shared import added_name
+
 #: A small labelled table: 1 blocks, 0 allows. Wikis, news, docs and papers against shops, logins, trackers and spam.
 LABELLED_URLS = [
     ("https://www.example.edu/research/papers/2021/algebra.html", 0), ("https://docs.example.dev/guide/getting-started", 0), ("https://news.example.net/en/2020/05/science-report", 0),
@@ -110,26 +112,27 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], model: UrlModel, thresho
     """Adds host, path, rule, score and verdict to every row.
 
     The longest rule that fits decides (of equal length, the first listed); else `block`
-    where the model's score reaches the threshold. Null urls, and those without `://`,
-    have empty host and path and are judged by the model on these. Every row is judged by
-    itself. Raises ValueError where an added column exists already. Rules and weights go
-    to the executors; both are small tables by their nature.
+    where the model's score reaches the threshold. score is null where a rule decides. Null
+    urls, and those without `://`, have empty host and path and are judged by the model on
+    these. Every row is judged by itself and by its whole url, so repeated rows and ids come
+    out alike; an empty table gives an empty one. Where a column of the table has an added
+    column's name, the added one gets underscores behind it (shared.added_name). Rules and
+    weights go to the executors; both are small tables by their nature.
     """
-    added = ("host", "path", "rule", "score", "verdict")
-    if clash := [c for c in added if c in pages.columns]:
-        raise ValueError(f"columns {clash} exist already")
+    names = [added_name(pages.columns, n) for n in ("host", "path", "rule", "score", "verdict")]
+    host_at, path_at, rule_at, score_at, verdict_at = names
     host, path = url_parts(url)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(reversed(rules), key=lambda r: len(r.text)):
-        fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
+        fits = ((F.col(host_at) == r.host) | F.col(host_at).endswith("." + r.host)) & F.col(path_at).startswith(r.path)
         rule, verdict = F.when(fits, r.text).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
-    split = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "verdict": verdict})
-    schema = T.StructType([*split.schema.fields[:-1], T.StructField("score", T.DoubleType()), split.schema["verdict"]])
+    split = pages.withColumns({host_at: host, path_at: path}).withColumns({rule_at: rule, verdict_at: verdict})
+    schema = T.StructType([*split.schema.fields[:-1], T.StructField(score_at, T.DoubleType()), split.schema[verdict_at]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), batch.column("verdict").to_pylist(), strict=True)
-            scores = [(model.score(h, p), v) for h, p, v in parts]
+            parts = zip(*(batch.column(c).to_pylist() for c in (host_at, path_at, verdict_at)), strict=True)
+            scores = [(None if v else model.score(h, p), v) for h, p, v in parts]
             new = [pa.array([s for s, _ in scores], pa.float64()), pa.array([v or ("block" if s >= threshold else "allow") for s, v in scores], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
