@@ -1,20 +1,34 @@
-"""Exact top-k inner products: ball trees per shard, searched by branch and bound."""
+"""Exact top-k inner products: ball trees per shard, searched by branch and bound.
+
+Vectors are dealt to the nearest of a few sampled pivots, so that a cell is a ball: its
+pivot and the distance of its farthest vector. Cells above a shard's size are split by
+hash. A query visits its cells in the order of their upper bounds, in rounds: the best
+cell, then some more, then all others, and only cells whose bound reaches the kth score
+that the rounds before gave. Within a shard, a ball tree is searched in the same way.
+"""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terravane.llm.shared import materialise
+from terravane.llm.shared import discard, materialise
 
-#: Vectors of a leaf, of a shard at most, and shards at least.
-LEAF, SHARD_ROWS, LEAST_SHARDS = 64, 16_384, 192
+#: Vectors of a leaf, of a shard at most, and of a cell while there are pivots for it.
+LEAF, SHARD_ROWS, CELL_ROWS = 32, 16_384, 2_048
+#: Pivots at most; they go to the executors.
+MOST_PIVOTS = 1_024
 #: Queries that one task searches a shard with.
 QUERY_BLOCK = 4_096
+#: The cells of a query's rounds, by the place of their bounds.
+ROUNDS = ((0, 1), (1, 5), (5, None))
 LOWEST, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -136,41 +150,133 @@ def _search_group(k: int):
     return run
 
 
+@dataclass(frozen=True)
+class Cells:
+    """For each length of vectors: pivots, and how far the farthest vector of each one's cell is (-1: no vectors)."""
+
+    pivots: dict[int, np.ndarray]
+    far: dict[int, np.ndarray]
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector, and the distance from its pivot."""
+        pivots, x = self.pivots_of(vectors.shape[1]), vectors.astype(np.float64)
+        cell = ((pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T).argmin(axis=1)
+        return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
+
+    def pivots_of(self, dim: int) -> np.ndarray:
+        return self.pivots.get(dim, np.zeros((1, dim)))
+
+    def worth(self, queries: np.ndarray, kth: np.ndarray, places: tuple[int, int | None]) -> list[np.ndarray]:
+        """Each query's cells at these places of the order of bounds, if their bounds reach its kth score."""
+        pivots, q = self.pivots_of(queries.shape[1]), queries.astype(np.float64)
+        far = self.far[queries.shape[1]]
+        length, reach = np.sqrt((q**2).sum(axis=1))[:, None], np.sqrt((pivots**2).sum(axis=1)) + far
+        upper = q @ pivots.T + length * far + 1e-9 * length * reach + 1e-3
+        upper = np.where(far < 0, -np.inf, np.maximum(upper, float(LOWEST)))
+        order = np.argsort(-upper, axis=1, kind="stable")[:, places[0] : places[1]]
+        at = np.take_along_axis(upper, order, axis=1)
+        return [o[(u > -np.inf) & (u >= float(k))] for o, u, k in zip(order, at, kth.tolist(), strict=True)]
+
+
+def _by_length(f: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Callable:
+    """A kernel for mapInArrow that gets the rows of each length of `q` with their matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                yield f(part, _matrix(pa.Table.from_batches([part]), "q").reshape(part.num_rows, dim))
+
+    return run
+
+
+def _pivots(rows: DataFrame, total: int) -> dict[int, np.ndarray]:
+    """Some vectors, the first by a hash of the id, as pivots of their lengths: one for CELL_ROWS vectors, MOST_PIVOTS at most."""
+    wanted = min(MOST_PIVOTS, -(-total // CELL_ROWS))
+    found: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "q").limit(wanted).collect():
+        found.setdefault(len(r["q"]), []).append(r["q"])
+    return {dim: np.unique(np.array(v, dtype=np.float64).reshape(len(v), dim), axis=0) for dim, v in found.items()}
+
+
+def _deal(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    cells = Cells(pivots, {})
+
+    def kernel(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        cell, far = cells.nearest(x)
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=[*part.schema.names, "cell", "far"])
+
+    return rows.mapInArrow(_by_length(kernel), T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())]))
+
+
+def _visits(asks: DataFrame, cells: Cells, places: tuple[int, int | None]) -> DataFrame:
+    """(query_id, q, dim, kth, kth_id, cell): the cells that a round searches for each query."""
+
+    def kernel(part: pa.RecordBatch, q: np.ndarray) -> pa.RecordBatch:
+        chosen = cells.worth(q, part.column("kth").to_numpy(), places)
+        ends = np.cumsum([0, *map(len, chosen)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *chosen]).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "cells"])
+
+    schema = T.StructType([*asks.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    return asks.mapInArrow(_by_length(kernel), schema).withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def exact_top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k highest integer inner products among all other rows.
 
     `queries` says which rows are queries. Components are taken as floor(1024 * x). Ties
     go to the smaller id; a query has fewer results if there are fewer rows. Rows without
     id, and vectors that are null or hold null or non-finite components, take no part;
-    vectors meet vectors of their own length. Rows that repeat an id and a vector count
-    once; a query's own id is never its result.
+    vectors meet vectors of their own length, however long. Rows that repeat an id and a
+    vector count once; a query's own id is never its result. Sums beyond 64 bits stop at
+    its limits. An empty table gives an empty result; other columns, whatever their
+    names, take no part.
 
-    Every shard's vectors are a ball tree. Each query first searches the shard it falls
-    into, which gives a kth score; all other shards then start from that score. Query
-    blocks and shards are both of bounded size, whatever the table's.
+    Shards and query blocks are of bounded size, whatever the table's; a shard is copied
+    only for as many blocks as queries reach it. The driver holds the pivots and one row
+    for each cell.
     """
-    rows = vectors.select(F.col(id_col).alias("vec_id"), scaled(vector).alias("q"), queries.alias("is_query")).where("vec_id is not null and q is not null").dropDuplicates(["vec_id", "q"])
-    total, asked = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
-    shards = max(LEAST_SHARDS, -(-total // SHARD_ROWS))
-    blocks = max(1, -(-asked // QUERY_BLOCK))
-    rows = rows.withColumn("dim", F.size("q")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    data = rows.select("vec_id", "q", "dim", "shard")
-    asks, _ = materialise(rows.where("is_query").select(F.col("vec_id").alias("query_id"), "q", "dim", F.col("shard").alias("home")), "queries")
-    begin = asks.withColumn("kth", F.lit(LOWEST).cast("long")).withColumn("kth_id", F.lit(NO_ID))
-    key = ["shard", "dim"]
-    first = data.groupBy(*key).cogroup(begin.withColumnRenamed("home", "shard").groupBy(*key)).applyInArrow(_search_group(k), OUT)
-    first, _ = materialise(first, "first-shard")
-    kth = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best")).select(
-        "query_id", F.when(F.size("best") >= k, -F.try_element_at("best", F.lit(k))["s"]).otherwise(LOWEST).alias("kth"), F.when(F.size("best") >= k, F.try_element_at("best", F.lit(k))["vec_id"]).otherwise(NO_ID).alias("kth_id")
-    )
-    later = asks.join(kth, "query_id", "left").select("query_id", "q", "dim", "home", F.coalesce("kth", F.lit(LOWEST)).alias("kth"), F.coalesce("kth_id", F.lit(NO_ID)).alias("kth_id"))
-    later = later.withColumn("block", F.pmod(F.xxhash64(F.col("query_id"), F.lit(1)), F.lit(blocks)).cast("int"))
-    later = later.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").drop("home")
-    spread = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["shard", "dim", "block"]
-    rest = spread.groupBy(*key).cogroup(later.groupBy(*key)).applyInArrow(_search_group(k), OUT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).alias("vec_id"), scaled(vector).alias("q"), queries.alias("is_query")).where("vec_id is not null and q is not null")
+    rows = rows.dropDuplicates(["vec_id", "q"]).withColumn("dim", F.size("q"))
+    rows, rows_at = materialise(rows, "vectors")
+    pivots = _pivots(rows.select("vec_id", "q"), rows.count())
+    dealt, _ = materialise(_deal(rows, pivots), "cells")
+    held = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+    far: dict[int, np.ndarray] = {}
+    for r in held:
+        far.setdefault(r["dim"], np.full(len(pivots.get(r["dim"], [0])), -1.0))[r["cell"]] = r["far"]
+    cells = Cells(pivots, far)
+    subs = spark.createDataFrame([(r["dim"], r["cell"], -(-r["n"] // SHARD_ROWS)) for r in held], "dim int, cell int, subs int")
+    data = dealt.join(F.broadcast(subs), ["dim", "cell"]).select("vec_id", "q", "dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int").alias("sub"))
+    asked = dealt.where("is_query").select(F.col("vec_id").alias("query_id"), "q", "dim")
+    found = None
+    for places in ROUNDS:
+        if found is None:
+            asks = asked.withColumns({"kth": F.lit(LOWEST).cast("long"), "kth_id": F.lit(NO_ID).cast("long")})
+        else:
+            kth = _best(found, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
+            asks = asked.join(kth, "query_id", "left").withColumns({"kth": F.coalesce("kth", F.lit(LOWEST)), "kth_id": F.coalesce("kth_id", F.lit(NO_ID))})
+        if places[0] >= max((len(f) for f in far.values()), default=0) and found is not None:
+            break
+        visits, _ = materialise(_visits(asks, cells, places), "visits")
+        blocks = visits.groupBy("dim", "cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+        blocks = subs.join(blocks, ["dim", "cell"])
+        key = ["dim", "cell", "sub", "block"]
+        left = data.join(F.broadcast(blocks.drop("subs")), ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, "vec_id", "q")
+        right = visits.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64(F.col("query_id"), F.lit(1)), F.col("blocks")).cast("int"))
+        right = right.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select(*key, "query_id", "q", "kth", "kth_id")
+        new, _ = materialise(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search_group(k), OUT), "found")
+        found = new if found is None else found.unionByName(new)
+    discard(spark, rows_at)
+    return _best(found, k)
 
 
 #: The same rows as exact_top_k over the table embeddings, as DuckDB SQL.

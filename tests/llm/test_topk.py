@@ -67,3 +67,25 @@ def test_tree_prunes_and_shares_the_kth_score():
         topk.products = plain
     assert first < len(vectors) / 4 and sum(seen) == 0
     assert scores[0].tolist() == sorted((vectors @ query[0]).tolist(), reverse=True)[:10]
+
+
+def test_rounds_visit_few_cells_of_clustered_vectors(spark, monkeypatch):
+    """Clusters in far directions: a query's own cluster gives a kth score that no other cell's bound reaches; results stay exact."""
+    monkeypatch.setattr(topk, "CELL_ROWS", 50)
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 10) for _ in range(6)] for _ in range(20)]
+    rows = [(i, [c + rng.gauss(0, 0.1) for c in centres[i % 20]]) for i in range(2000)]
+    visits, plain = [], topk._visits
+    monkeypatch.setattr(topk, "_visits", lambda asks, cells, places: (visits.append((plain(asks, cells, places).count(), len(cells.pivots[6]))), plain(asks, cells, places))[1])
+    assert found(spark, rows) == brute(rows, 10)
+    pivots = visits[0][1]
+    assert pivots > 10 and sum(n for n, _ in visits) < 20 * pivots / 2  # 20 queries
+
+
+def test_cells_split_and_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "CELL_ROWS", 100)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(rng.choice([2, 3, 3, 3]))]) for i in range(900)]
+    assert found(spark, rows) == brute(rows, 10)
