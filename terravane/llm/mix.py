@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.llm.shared import materialise
+from terravane.llm.shared import added_name, materialise
 
 #: Bins of the order within a source: documents of one size group are dealt over so many by hash.
 HASH_BINS = 64
@@ -79,7 +79,9 @@ def mix_sources(
     whole number that the sum crosses on it: its copies. So copies differ by one at most
     and, as neighbours have like sizes, taken words are near the target. Sources may be
     null; sources of size 0 have target 0 and copies 0. Null ids share one place in the
-    order; repeated rows count each. An empty table gives an empty result.
+    order; repeated rows count each, very long texts whole. An empty table gives an empty
+    result. Where a column in `carry` has an added column's name, the added one gets
+    underscores behind it (shared.added_name).
 
     No window runs over a whole source: ranks come from counts in bins of (size group,
     hash), so a source that holds most rows is dealt over many tasks.
@@ -106,15 +108,16 @@ def mix_sources(
     copies = (F.floor(F.col("__e") * rank + F.col("__u")) - F.floor(F.col("__e") * (rank - 1) + F.col("__u"))).cast("long")
     kept = [F.col(f"__row.{c}").alias(c) for c in dict.fromkeys([id_col, *carry])]
     own = [] if source in (id_col, *carry) else [F.col("r.__source").alias(source)]
-    return placed.select(*kept, *own, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
+    added = {"size": F.col("__size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col("__size")}
+    return placed.select(*kept, *own, *(c.alias(added_name([id_col, source, *carry], n)) for n, c in added.items()))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the table's rows, each as often as mix_sources takes it."""
-    if clash := [c for c in ("size", "source_size", "target", "copies", "taken") if c in docs.columns]:
-        raise ValueError(f"columns {clash} exist already")
-    mixed = mix_sources(docs, carry=docs.columns, **options).where("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = added_name(docs.columns, "copies")
+    mixed = mix_sources(docs, carry=docs.columns, **options).where(F.col(copies) > 0)
+    each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(added_name([*docs.columns, copies], "copy"))
+    return mixed.select(*docs.columns, each).select(*docs.columns)
 
 
 #: The same rows as mix_sources, as DuckDB SQL over the table documents.

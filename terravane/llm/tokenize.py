@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravane.llm.bpe import encoder_of, read_spec
-from terravane.llm.shared import bounded, materialise, text_chunks
+from terravane.llm.shared import added_name, bounded, discard, materialise, text_chunks
 
+#: Digests of 32 bytes that may be broadcast, 4 MB.
+SMALL_MISSES = 100_000
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -24,20 +26,19 @@ def tokenizer_version(path: str) -> str:
 
 
 def _with_columns(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
-    clash = [n for n, _ in fields if n in df.columns]
-    if clash:
-        raise ValueError(f"columns {clash} exist already")
-    return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])
+    return T.StructType([*df.schema.fields, *(T.StructField(added_name(df.columns, n), T._parse_datatype_string(t)) for n, t in fields)])
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
     """Adds the token ids of every whole text (`ids`, as an array) and the text that they decode to (`decoded`).
 
-    Null and empty texts have no ids and decode to the empty text. Repeated rows are
-    encoded alike; other columns pass through. Always adds n_tokens, ids_sha256 (of the
-    ids as little-endian unsigned 32-bit integers) and decoded_sha256. Raises ValueError
-    where the table has one of these columns already. The tokenizer file is read on the
-    driver and sent to the executors, a few MB at any size of the table.
+    Null and empty texts have no ids and decode to the empty text; very long ones are
+    encoded whole. Every row is encoded by itself, so repeated rows come out alike, and an
+    empty table gives an empty one. Other columns pass through. Always adds n_tokens,
+    ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256;
+    where a column has an added column's name already, the added one gets underscores
+    behind it (shared.added_name). The tokenizer file is read on the driver and sent to
+    the executors, a few MB at any size of the table.
     """
     spec, key = read_spec(tokenizer_path), tokenizer_version(tokenizer_path)
     sent = docs.sparkSession.sparkContext.broadcast(spec)
@@ -96,24 +97,30 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     (copies fold before the exchange), encoded and appended; then all rows are joined to
     the cache, a join whose hot keys Spark may split. Appending the same count twice,
     as two jobs at once may do, changes nothing: counts are read distinct.
-    Raises ValueError where the table has one of the added columns already.
+    Very long texts are counted whole; an empty table gives an empty one. Where a column
+    has an added column's name already, the added one gets underscores behind it
+    (shared.added_name).
+
+    Digests meet the cache without their texts. Where the digests that it lacks fit
+    SMALL_MISSES, they are broadcast to the texts and only these are shuffled; beyond
+    that, every content is shuffled once.
     """
-    clash = [c for c in ("n_bytes", "n_tokens", "over_limit") if c in docs.columns]
-    if clash:
-        raise ValueError(f"columns {clash} exist already")
     spark, version = docs.sparkSession, tokenizer_version(tokenizer_path)
     content = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(content, 256))
     cached = open_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    distinct = docs.select(digest.alias("digest"), content.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(cached.select("digest"), "digest", "left_anti")
-    _count_distinct(misses, tokenizer_path).write.mode("append").parquet(cache_path)
+    misses, misses_at = materialise(docs.select(digest.alias("digest")).distinct().join(cached, "digest", "left_anti"), "misses")
+    contents = docs.select(digest.alias("digest"), content.alias("text"))
+    if misses.count() <= SMALL_MISSES:
+        wanted = contents.join(F.broadcast(misses), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    else:
+        wanted = contents.groupBy("digest").agg(F.first("text").alias("text")).join(misses, "digest", "left_semi")
+    _count_distinct(wanted, tokenizer_path).write.mode("append").parquet(cache_path)
+    discard(spark, misses_at)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    known = known.groupBy(F.col("digest").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens"))
+    key, bytes_, tokens, over = (added_name(docs.columns, n) for n in ("digest", "n_bytes", "n_tokens", "over_limit"))
+    known = known.groupBy(F.col("digest").alias(key)).agg(F.max("n_tokens").alias(tokens))
     known, _ = materialise(known, "counts")  # a plain table: the join below may then split a hot digest
     slim = [c for c in docs.columns if c != text]
-    rows = docs.select(*slim, digest.alias("__digest"), F.octet_length(content).cast("long").alias("n_bytes"))
-    return rows.join(known, "__digest").drop("__digest").withColumn("over_limit", F.col("n_tokens") > limit)
-
-
-
+    rows = docs.select(*slim, digest.alias(key), F.octet_length(content).cast("long").alias(bytes_))
+    return rows.join(known, key).drop(key).withColumn(over, F.col(tokens) > limit)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terravane.llm import neardup, quality_rules, toxicity
@@ -71,3 +72,17 @@ def test_run_is_the_stages(spark, folder):
 
 def test_operators_are_those_of_the_queries():
     assert corpus_pipeline.neardup is neardup and corpus_pipeline.quality_rules is quality_rules and corpus_pipeline.toxicity is toxicity
+
+
+def test_odd_tables_pass(spark, folder, tmp_path):
+    """Columns that clash with those of the operators, repeated rows, nulls; and an empty table."""
+    path, rows, labels = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    odd = docs.unionByName(docs.where("doc_id < 40")).withColumns({c: F.lit("x") for c in ("score", "predicted", "kept", "n_words", "size", "copies", "n_tokens", "key", "body")})
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("odd", "none"):
+        spark.read.parquet(f"{path}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    ids = [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").select("doc_id").collect()]
+    assert len(ids) > 100 and max(ids.count(i) for i in set(ids)) <= 2
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

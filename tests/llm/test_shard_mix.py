@@ -23,6 +23,27 @@ def test_shards_hold_equal_bytes(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_by_hand(spark):
+    """Keys recomputed from the definition: shards are ranges of the sorted keys, each cut within tolerance of its target or at the row next to it."""
+    import xxhash
+
+    rows = [(i, f"text {i % 700} " + "y" * (i * 53 % 900)) for i in range(2500)] + [(9000 + i, "hot text") for i in range(1200)] + [(20_000, None), (20_001, "")]
+    out = {r["doc_id"]: r for r in shard.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 12, 0.01).collect()}
+    keyed = []
+    for i, t in rows:
+        text = (t or "").encode()
+        keyed.append((xxhash.xxh64(text, seed=42).intdigest() >> 4, xxhash.xxh64(i.to_bytes(8, "little"), seed=42).intdigest() >> 4, i, len(text) + 16))
+    keyed.sort()
+    assert all(out[i]["size"] == size for _, _, i, size in keyed) and len(out) == len(rows)
+    order = [out[i]["shard"] for _, _, i, _ in keyed]
+    assert order == sorted(order) and set(order) == set(range(12))
+    total = sum(k[3] for k in keyed)
+    for cut in range(1, 12):
+        below = sum(size for _, _, i, size in keyed if out[i]["shard"] < cut)
+        here = order.index(cut)
+        assert abs(below - total * cut / 12) <= max(0.01 * total / 12, keyed[here][3], keyed[here - 1][3])
+
+
 def test_equal_texts_stay_together_unless_cut(spark):
     rows = [(i, f"text {i % 400} of some length") for i in range(4000)]
     out = shard.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8, 0.02)
@@ -96,8 +117,8 @@ def test_mixed_rows(spark):
     want = {r["doc_id"]: r["copies"] for r in mix.mix_sources(docs.where("doc_id < 60")).collect()}
     assert set(want.values()) <= {0, 1, 2}
     assert mix.mixed_documents(empty(spark)).count() == 0 and mix.mix_sources(empty(spark)).count() == 0
-    with pytest.raises(ValueError):
-        mix.mixed_documents(docs.withColumn("copies", F.lit(1)))
+    clash = mix.mixed_documents(docs.withColumns({"copies": F.lit("x"), "size": F.lit(2), "copy": F.lit(3)}))
+    assert clash.where("copies = 'x' and size = 2 and copy = 3").count() == out.count() and len(clash.columns) == len(docs.columns) + 3
 
 
 def test_ranks_by_hand(spark):
