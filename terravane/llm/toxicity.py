@@ -270,19 +270,22 @@ def fit_curve(x: np.ndarray, y: np.ndarray, l2: tuple[float, ...] = RIDGE, round
     return tuple(w.tolist())
 
 
-def _without_near_copies(sample: DataFrame) -> DataFrame:
-    """One of the sample's documents for each pair of MinHashes of its word five-grams: copies are no independent evidence."""
-    forest = Forest(trees=1, depth=2)
+def _without_near_copies(sample: DataFrame, hashes: int = 3) -> DataFrame:
+    """(text, toxic) of the sample's documents, one for each MinHash of word five-grams, for several MinHashes in turn: copies are no independent evidence."""
+    forest = Forest(trees=1, depth=hashes)
+    names = [f"near{k}" for k in range(hashes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
-                pair = minhashes(shingle_sets(part.column("text"), 5), forest)[:, 0].astype(np.uint64)
-                near = (pair[:, 0] << np.uint64(32) | pair[:, 1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near)], names=[*part.schema.names, "near"])
+                near = minhashes(shingle_sets(part.column("text"), 5), forest)[:, 0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("toxic"), *(pa.array(near[:, k]) for k in range(hashes))], names=["text", "toxic", *names])
 
-    schema = T.StructType([*sample.schema.fields, T.StructField("near", T.LongType())])
-    return bounded(sample).mapInArrow(run, schema).groupBy("near", "toxic").agg(F.min("text").alias("text"))
+    out = bounded(sample.select("text", "toxic")).mapInArrow(run, "text string, toxic double, " + ", ".join(f"{n} long" for n in names))
+    for name in names:
+        rest = [c for c in out.columns if c not in (name, "toxic")]
+        out = out.groupBy(name, "toxic").agg(F.min(F.struct(*rest)).alias("one")).select("one.*", "toxic", name)
+    return out.select("text", "toxic")
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 12_000, evidence: float = 12.0, margin: float = 4.5, most: int = 8_192) -> ToxicityModel:
@@ -300,7 +303,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 12_000, evid
     bad, good = n.get(True, 0), n.get(False, 0)
     if not bad or not good:
         return ToxicityModel({}, {}, (30.0 if bad else -30.0, *[0.0] * N_FEATURES))
-    half = F.pmod(F.xxhash64("near"), F.lit(2)) == 0
+    half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
     curve = _fit_clauses(sample.where(~half), *_lexicon(sample.where(half), bad / 2, good / 2, evidence, margin, most))
     return ToxicityModel(*_lexicon(sample, bad, good, evidence, margin, most), curve)
 
