@@ -225,9 +225,9 @@ def fit_ptable(table: pd.DataFrame, nodes: int = 80, method: str = "spline", sd:
 
 
 def empirical_alpha(table: pd.DataFrame) -> float:
-    """The shrinkage of largest Dirichlet-multinomial likelihood, its logarithm within [-2, 10]."""
-    first = table[table["d"] == table["d"].min()].groupby("ci")["p"].sum()
-    base = np.clip(table["ci"].map(first).to_numpy(float) * table["cj"].map(first).to_numpy(float), 1e-9, None)
+    """The shrinkage of largest Dirichlet-multinomial likelihood, its logarithm within [-2, 10]: spread evenly over the cells of a distance, distances of fewer than two pairs left out."""
+    table = table[table["n"] >= 2]
+    base = 1 / max(1, table["ci"].nunique() * table["cj"].nunique())
     count = (table["n"] * table["p"]).to_numpy(float)
     total = table.groupby("d")["n"].first().to_numpy(float)
 

@@ -196,6 +196,35 @@ def local_mean(ch: np.ndarray, zh: np.ndarray, cs: np.ndarray, ms: np.ndarray, v
     return gls(f, np.concatenate([zh, ms]), k)[0]
 
 
+def _powers(order: int) -> list[tuple[str, int]]:
+    return [(c, p) for p in range(1, order + 1) for c in ("x", "y")]
+
+
+def fit_trend(points: DataFrame, order: int = 1) -> tuple[np.ndarray, float]:
+    """Coefficients (constant, then x and y to each power) and residual variance of a polynomial trend by least squares.
+
+    The table folds to the sums of products of the centred terms, one row whatever its
+    size; the driver solves that system. Points without a value take no part.
+    """
+    known = points.where("z is not null and not isnan(z)")
+    terms = [F.pow(c, float(p)) if p > 1 else F.col(c) for c, p in _powers(order)] + [F.col("z")]
+    k = len(terms)
+    row = known.agg(F.count("*").alias("n"), *(F.avg(t).alias(f"m{i}") for i, t in enumerate(terms)), *(F.covar_pop(terms[i], terms[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k))).first()
+    n, mean = row["n"], np.array([row[f"m{i}"] for i in range(k)], dtype=float)
+    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
+    beta = np.linalg.lstsq(cov[:-1, :-1], cov[:-1, -1], rcond=None)[0]
+    rest = cov[-1, -1] - beta @ cov[:-1, -1]
+    return np.concatenate([[mean[-1] - beta @ mean[:-1]], beta]), float(n * rest / max(1, n - k))
+
+
+def trend_column(beta: np.ndarray, order: int = 1) -> Column:
+    """The trend of fit_trend at columns x and y."""
+    out = F.lit(float(beta[0]))
+    for b, (c, p) in zip(beta[1:], _powers(order), strict=True):
+        out = out + F.lit(float(b)) * F.pow(c, float(p))
+    return out
+
+
 def ols_mean(points: DataFrame) -> DataFrame:
     """Constant-trend regression: estimate, its variance and points: one row."""
     return points.agg(F.avg("z").alias("beta"), (F.var_samp("z") / F.count("z")).alias("var_beta"), F.count("z").alias("n"))

@@ -69,13 +69,19 @@ def gaussian_user_nodes(mean: Column, var: Column) -> Column:
     return _nodes(mean, F.sqrt(var), USER_NODES, [math.exp(-z * z / 2) for z in USER_NODES])
 
 
+def student_nodes(n: int) -> list[float]:
+    """Signed geometric means of normal and t quantiles, for a mean of n > 1 observations."""
+    normal = [float(normal_quantile(p)) for p in STUDENT_NORMAL_PROBABILITIES]
+    return [math.copysign(math.sqrt(abs(q * t_quantile(p, n - 1))), q) if abs(q) > 1e-12 else 0.0 for p, q in zip(STUDENT_PROBABILITIES, normal, strict=True)]
+
+
 def student_t(mean: Column, var: Column, n: int) -> Column:
     """The density of a mean of n observations on 13 nodes: signed geometric means of normal and t quantiles times sd / sqrt(n); n <= 1 is normal."""
     sd = F.sqrt(var / max(n, 1))
     normal = [float(normal_quantile(p)) for p in STUDENT_NORMAL_PROBABILITIES]
     if n <= 1:
         return _nodes(mean, sd, normal, [math.exp(-z * z / 2) for z in normal])
-    z = [math.copysign(math.sqrt(abs(q * t_quantile(p, n - 1))), q) if abs(q) > 1e-12 else 0.0 for p, q in zip(STUDENT_PROBABILITIES, normal, strict=True)]
+    z = student_nodes(n)
     return _nodes(mean, sd, z, [(1 + q * q / (n - 1)) ** (-n / 2) for q in z])
 
 
@@ -142,14 +148,14 @@ def concat(one: DataFrame, two: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def combine_collocated(soft: DataFrame, by: tuple[str, ...] = ("x", "y"), method: str = "mult", nodes: int = 100) -> DataFrame:
-    """One linear density per place: products ('mult'; sums where they vanish) or sums ('add') on the union of nodes, scaled to area 1.
+def combine_collocated(soft: DataFrame, by: tuple[str, ...] = ("x", "y"), method: str = "mult") -> DataFrame:
+    """One linear density per place: products ('mult'; sums where they vanish) or sums ('add') on the whole union of nodes, scaled to area 1.
 
     Repeated rows at a place count once. A place's densities are gathered in its row.
     """
     rows = soft.select(*by, F.struct("soft.limi", "soft.probdens").alias("s")).distinct()
     groups = rows.groupBy(*by).agg(F.collect_list("s").alias("all"))
-    grid = F.slice(F.array_sort(F.array_distinct(F.flatten(F.col("all")["limi"]))), 1, nodes)
+    grid = F.array_sort(F.array_distinct(F.flatten(F.col("all")["limi"])))
     groups = groups.withColumn("limi", grid)
 
     def at(s: Column, z: Column) -> Column:
