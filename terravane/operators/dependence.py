@@ -68,19 +68,26 @@ def _site_pairs(grid: DataFrame, reach: float) -> DataFrame:
 def stcov_spacetime(grid: DataFrame, lags: Lags, time_lags: Lags, symmetric: bool = False) -> DataFrame:
     """(sbin, tbin, n, cov) of a long grid (site, x, y, t, z): site pairs i <= j with times s <= t.
 
-    `symmetric` pairs times both ways and averages both means.
+    `symmetric` pairs times both ways and averages both means. Values of the sites in a
+    bin around a site are summed for each time first, as the covariance needs sums only:
+    site pairs meet the times of one side, and the times of the other meet these sums, by
+    cells as wide as the largest time lag.
     """
     values = _valued(grid).select("site", "t", "z")
-    pairs = _site_pairs(grid, _reach(lags)).alias("p")
-    rows = pairs.join(values.alias("u"), F.col("p.i") == F.col("u.site")).join(values.alias("v"), F.col("p.j") == F.col("v.site"))
-    gap = F.col("v.t") - F.col("u.t")
-    rows = rows.where(F.abs(gap) <= _reach(time_lags)) if symmetric else rows.where((gap >= 0) & (gap <= _reach(time_lags)))
-    rows = rows.select(F.explode(bins_of(F.col("p.d"), lags)["bin"]).alias("sbin"), F.abs(gap).alias("gap"), F.col("u.z").alias("a"), F.col("v.z").alias("b"))
-    rows = rows.select("sbin", F.explode(bins_of(F.col("gap"), time_lags)["bin"]).alias("tbin"), "a", "b")
-    if symmetric:
-        mean = F.avg((F.col("a") + F.col("b")) / 2)
-        return rows.groupBy("sbin", "tbin").agg(F.count("*").alias("n"), (F.avg(F.col("a") * F.col("b")) - mean * mean).alias("cov"))
-    return rows.groupBy("sbin", "tbin").agg(F.count("*").alias("n"), covariance_of(F.col("a"), F.col("b")).alias("cov"))
+    reach = _reach(time_lags)
+    near = _site_pairs(grid, _reach(lags)).select("i", "j", F.explode(bins_of(F.col("d"), lags)["bin"]).alias("sbin"))
+    around = near.join(values, F.col("i") == F.col("site")).groupBy("j", "sbin", F.col("t").alias("s")).agg(F.count("*").alias("m"), F.sum("z").alias("a"))
+    width = max(reach, 1e-9)
+    cell = F.floor(F.col("s") / width)
+    around = around.withColumn("cell", F.explode(F.array(*([cell - 1] * symmetric), cell, cell + 1)))
+    rows = around.join(values.withColumn("cell", F.floor(F.col("t") / width)).withColumnRenamed("site", "j"), ["j", "cell"])
+    gap = F.col("t") - F.col("s")
+    rows = rows.where(F.abs(gap) <= reach) if symmetric else rows.where((gap >= 0) & (gap <= reach))
+    rows = rows.select("sbin", F.explode(bins_of(F.abs(gap), time_lags)["bin"]).alias("tbin"), "m", "a", "z")
+    sums = rows.groupBy("sbin", "tbin").agg(F.sum("m").alias("n"), F.sum(F.col("a") * F.col("z")).alias("ab"), F.sum("a").alias("a"), F.sum(F.col("m") * F.col("z")).alias("b"))
+    mean_a, mean_b = F.col("a") / F.col("n"), F.col("b") / F.col("n")
+    means = F.pow((mean_a + mean_b) / 2, 2.0) if symmetric else mean_a * mean_b
+    return sums.select("sbin", "tbin", "n", (F.col("ab") / F.col("n") - means).alias("cov"))
 
 
 def cov_nd(pairs: DataFrame, dims: dict[str, Lags]) -> DataFrame:

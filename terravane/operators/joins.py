@@ -69,11 +69,37 @@ def pair_join(points: DataFrame, radius: float, dims: Sequence[str] = ("x", "y")
     return pairs.where(F.col("a.id") <= F.col("b.id") if own else F.col("a.id") < F.col("b.id"))
 
 
+def _first_radius(points: DataFrame, nmax: int, dims: Sequence[str]) -> float:
+    """The radius that would hold 2.5 nmax points if they lay evenly over their bounds; infinite where that says nothing. One row comes to the driver."""
+    row = points.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo{i}") for i, c in enumerate(dims)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(dims))).first()
+    if not row["n"]:
+        return math.inf
+    volume = math.prod(row[f"hi{i}"] - row[f"lo{i}"] if row[f"hi{i}"] is not None else 0.0 for i in range(len(dims)))
+    ball = math.pi ** (len(dims) / 2) / math.gamma(len(dims) / 2 + 1)
+    return (2.5 * nmax * volume / (row["n"] * ball)) ** (1 / len(dims)) if 0 < volume < math.inf else math.inf
+
+
 def knn_join(targets: DataFrame, points: DataFrame, nmax: int, dmax: float, dims: Sequence[str] = ("x", "y"), strict: bool = False) -> DataFrame:
-    """Each target's nmax nearest points within dmax, ties to the smaller id: columns of b, k, d and place (from 1)."""
-    near = range_join(targets, points, dmax, dims, strict)
-    kept = near.select(F.col("a.k").alias("k"), *(F.col(f"b.{c}").alias(c) for c in points.columns), "d")
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("d", "id"))).where(F.col("place") <= nmax)
+    """Each target's nmax nearest points within dmax, ties to the smaller id: columns of b, k, d and place (from 1).
+
+    Where points lie densely for dmax, a smaller radius by their mean density comes first:
+    targets with nmax points within it have their nearest there, only the others look
+    as far as dmax. So pairs grow with nmax and not with the points within dmax.
+    """
+
+    def nearest(some: DataFrame, radius: float, strict: bool) -> DataFrame:
+        near = range_join(some, points, radius, dims, strict)
+        kept = near.select(F.col("a.k").alias("k"), *(F.col(f"b.{c}").alias(c) for c in points.columns), "d")
+        return kept.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("d", "id"))).where(F.col("place") <= nmax)
+
+    first = _first_radius(points, nmax, dims)
+    if not 0 < first < dmax / 1.5:
+        return nearest(targets, dmax, strict)
+    close = range_join(targets.select("k", *dims), points.select(*dims), first, dims)
+    full = close.groupBy(F.col("a.k").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") >= nmax).select("k")
+    near = nearest(targets, first, False)
+    whole = near.withColumn("__n", F.count("*").over(Window.partitionBy("k"))).where(F.col("__n") == nmax).drop("__n")
+    return whole.unionByName(nearest(targets.join(full, "k", "left_anti"), dmax, strict))
 
 
 def knn_spacetime(targets: DataFrame, points: DataFrame, nmax: int, ds: float, dt: float, ratio: float) -> DataFrame:
