@@ -371,7 +371,7 @@ def _gram_sets(texts: DataFrame, words: int) -> DataFrame:
 
 def _links(members: DataFrame, known: DataFrame, similarity: Fraction, tasks: int) -> tuple[DataFrame, float | None]:
     """Verified links of all texts of the clusters in `members` (digest, cluster, block, blocks) as a table (digest, root, links, texts, weakest), and the weakest of all."""
-    rows = members.join(known, "digest").select("cluster", "block", "blocks", "digest", "copies", "shingles")
+    rows = members.hint("merge").join(known, "digest").select("cluster", "block", "blocks", "digest", "copies", "shingles")
     dealt = rows.repartition(tasks, "cluster", "block").sortWithinPartitions("cluster", "block")
     verified, at = materialise(_verify(bounded(dealt), similarity), "verified")
     blocks = verified.where("packed is not null").select("packed", "cluster", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -407,8 +407,9 @@ def _classes(docs: DataFrame, similarity: float, words: int, forest: Forest, id_
     matches, matches_at = _matches(labelled, forest, forest.prefix(similarity))
     discard(spark, sketch_at)
     near = matches.select(F.col("a").alias("node")).unionByName(matches.select(F.col("b").alias("node"))).distinct().join(sets, "node")
-    near, near_at = materialise(near.select("digest", "copies", F.col("first.key").alias("key"), F.col("first.body").alias("body")), "near")  # while small, no text need be shuffled to meet it
-    known, known_at = materialise(_gram_sets(texts.join(near, ["key", "body"]).select("digest", "copies", "text"), words), "gram-sets")
+    near, near_at = materialise(near.select("digest", "copies", F.col("first.key").alias("key"), F.col("first.body").alias("body")), "near")
+    # both sides grow with the table: a merge join at every size, here and in _links
+    known, known_at = materialise(_gram_sets(texts.join(near.hint("merge"), ["key", "body"]).select("digest", "copies", "text"), words), "gram-sets")
 
     depth, weakest, before, found = forest.depth, 1.0, None, None
     while True:
