@@ -49,6 +49,14 @@ def _systems(ck: np.ndarray, ch: list[np.ndarray], zh: list[np.ndarray], order,
     return out
 
 
+def place_means(points: DataFrame, by: Sequence[str] = ("x", "y")) -> DataFrame:
+    """(id, *by, z): one row a place with the mean of its values and the smallest of its ids; null and NaN values don't count.
+
+    Collocated data make a kriging system singular, so they meet before it.
+    """
+    return points.where("z is not null and not isnan(z)").groupBy(*by).agg(F.min("id").alias("id"), F.avg("z").alias("z")).select("id", *by, "z")
+
+
 def kriging(targets: DataFrame, points: DataFrame, structures: Sequence[Structure], nmax: int, dmax: float | Sequence[float], order: float | None = None, angle=None, ratio=None) -> DataFrame:
     """(k, zk, vk): local simple (order None or NaN, zero mean) or ordinary (0) kriging; targets without neighbours have nulls.
 
@@ -185,4 +193,4 @@ def cokriging_transformed(targets: DataFrame, points: DataFrame, lmc: Sequence[C
     return solve_rows(found, kernel, "k long, yk double, vk double")
 
 
-__all__ = ["Coregion", "aniso2iso_values", "cokriging", "cokriging_transformed", "factorial_kriging", "kriging", "kriging_loocv", "trend_basis"]
+__all__ = ["Coregion", "aniso2iso_values", "cokriging", "cokriging_transformed", "factorial_kriging", "kriging", "kriging_loocv", "place_means", "trend_basis"]

@@ -305,20 +305,23 @@ def nested_cov(spark, sf):
 
 
 def _st(spark, sf, structures):
-    sites = binding(spark, sf, "grid").groupBy(F.col("site").alias("id")).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min("t").alias("t"))
-    pairs = joins.pair_join(sites, 10.0)
-    return pairs.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), r(nested_column(structures, F.col("d"), F.abs(F.col("a.t") - F.col("b.t"))), 9).alias("k"))
+    """Every pair of sites and each time lag between them, with the number of pairs of points at it."""
+    sites = binding(spark, sf, "grid").groupBy(F.col("site").alias("id")).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.collect_list("t").alias("times"))
+    pairs = joins.pair_join(sites, 10.0).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), "d", F.col("a.times").alias("own"), F.col("b.times").alias("other"))
+    lags = pairs.select("i", "j", "d", F.explode("own").alias("own"), "other").select("i", "j", "d", "own", F.explode("other").alias("other"))
+    counts = lags.groupBy("i", "j", "d", F.abs(F.col("own") - F.col("other")).alias("u")).agg(F.count("*").alias("n"))
+    return counts.select("i", "j", "u", "n", r(nested_column(structures, F.col("d"), F.col("u")), 9).alias("k"))
 
 
-ST_SITES = "WITH s AS (SELECT site AS id, any_value(x) AS x, any_value(y) AS y, min(t) AS t FROM grid GROUP BY site)"
+ST_PAIRS = f"WITH p AS (SELECT a.site AS i, b.site AS j, {DIST} AS d, abs(a.t - b.t) AS u FROM grid a JOIN grid b ON a.site <= b.site)"
 
 
-@query(f"{ST_SITES} SELECT a.id AS i, b.id AS j, round(2 * exp(-3 * {DIST} / 8) * exp(-3 * abs(a.t - b.t) / 4), 9) AS k FROM s a JOIN s b ON a.id <= b.id WHERE {DIST} <= 10", "grid")
+@query(f"{ST_PAIRS} SELECT i, j, u, count(*) AS n, round(2 * exp(-3 * d / 8) * exp(-3 * u / 4), 9) AS k FROM p WHERE d <= 10 GROUP BY i, j, d, u", "grid")
 def separable_st_cov(spark, sf):
     return _st(spark, sf, [Structure("exponentialC/exponentialC", 2.0, (8.0,), (4.0,))])
 
 
-@query(f"{ST_SITES} SELECT a.id AS i, b.id AS j, round(2 * exp(-3 * ({DIST} + 1.5 * abs(a.t - b.t)) / 8), 9) AS k FROM s a JOIN s b ON a.id <= b.id WHERE {DIST} <= 10", "grid")
+@query(f"{ST_PAIRS} SELECT i, j, u, count(*) AS n, round(2 * exp(-3 * (d + 1.5 * u) / 8), 9) AS k FROM p WHERE d <= 10 GROUP BY i, j, d, u", "grid")
 def nonseparable_st_cov(spark, sf):
     return _st(spark, sf, [Structure("exponentialCST", 2.0, (8.0,), ratio=1.5)])
 

@@ -163,7 +163,7 @@ def sk_two_neighbours(spark, sf):
 
 @query()
 def kriging_local(spark, sf):
-    return rounded(kriging.kriging(targets(spark, sf), customers(spark, sf).dropDuplicates(["x", "y"]), [Structure("nuggetC", 1.0), *EXPONENTIAL], 12, 20.0, order=0))
+    return rounded(kriging.kriging(targets(spark, sf), kriging.place_means(customers(spark, sf)), [Structure("nuggetC", 1.0), *EXPONENTIAL], 12, 20.0, order=0))
 
 
 @query()

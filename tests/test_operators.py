@@ -99,6 +99,12 @@ def test_factorial_parts_add_up(points, targets):
     assert parts[whole.index].to_numpy() == pytest.approx(whole.to_numpy(), abs=1e-7)
 
 
+def test_collocated_values_meet_in_their_mean(spark):
+    rows = [(3, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 4.0), (5, 0.0, 0.0, None), (7, 1.0, 0.0, float("nan")), (9, 1.0, 1.0, 2.0)]
+    got = kriging.place_means(spark.createDataFrame(rows, "id long, x double, y double, z double")).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(2, 0.0, 0.0, 2.5), (9, 1.0, 1.0, 2.0)]
+
+
 def test_cokriging_of_one_variable_is_kriging(points, targets):
     lmc = [kriging.Coregion("exponentialC", (6.0,), ((2.0,),)), kriging.Coregion("nuggetC", (), ((0.3,),))]
     got = kriging.cokriging(targets[0], points[0].withColumn("var", F.lit(0)), lmc, 6, 8.0).toPandas().set_index("k")
