@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions.covariance import Structure
 from terravane.operators import bme, categorical, dependence, entropy, evaluate, fitting, interpolate, kriging, multivariate, normalscore, outlier, ptable, regions, series, simulate, soft
+from terravane.plans.linear_sql import solved_sql, system_sql
 from terravane.plans.queries_dependence import CLASSES, DIST, EDGES, MODEL, REFERENCE, VALUE
 from terravane.plans.registry import query, r, rounded
 from terravane.sources.tables import binding
@@ -161,24 +162,54 @@ def sk_two_neighbours(spark, sf):
     return rounded(kriging.kriging(targets(spark, sf), suppliers(spark, sf), EXPONENTIAL, 2, 25.0))
 
 
-@query()
+PQ = "sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))"
+
+
+def near_sql(a: str, b: str, nmax: int, dmax: float, where: str = "true", more: str = "") -> str:
+    """CTE `m`: the nmax nearest of b to each target in a (k, x, y), places i from 1."""
+    return f"n AS (SELECT a.k, b.*, {DIST} AS d, row_number() OVER (PARTITION BY a.k ORDER BY {DIST}, b.id) AS i{more} FROM {a} a JOIN {b} b ON {DIST} <= {dmax} WHERE {where}), m AS (SELECT * FROM n WHERE i <= {nmax})"
+
+
+def ordinary_sql(sill: float) -> str:
+    """Estimates and variances from the solved systems of ordinary kriging: the last row is the multiplier."""
+    return f"o AS (SELECT m.k, sum(w[i][1] * z) AS zk, {sill} - sum(w[i][1] * k0) - any_value(w[len(w)][1]) AS vk FROM m JOIN solved ON m.k = solved.k GROUP BY m.k)"
+
+
+PLACES = "places AS (SELECT min(id) AS id, x, y, avg(z) AS z FROM pts_c WHERE z IS NOT NULL GROUP BY x, y)"
+NUGGET = f"CASE WHEN p.i = q.i THEN 9.0 ELSE {C.format(h=PQ)} END"
+LOCAL = f"{PLACES}, {near_sql('targets', 'places', 12, 20, more=', ' + C.format(h=DIST) + ' AS k0')}, {system_sql('m', NUGGET, ['p.k0'], [('1', ['1'])])}, {solved_sql('s')}, {ordinary_sql(9.0)}"
+
+
+@query(f"WITH RECURSIVE {LOCAL} SELECT k, round(zk, 6) + 0.0::DOUBLE AS zk, round(vk, 6) + 0.0::DOUBLE AS vk FROM targets LEFT JOIN o USING (k)", "targets pts_c")
 def kriging_local(spark, sf):
     return rounded(kriging.kriging(targets(spark, sf), kriging.place_means(customers(spark, sf)), [Structure("nuggetC", 1.0), *EXPONENTIAL], 12, 20.0, order=0))
 
 
-@query()
+LOOCV = f"own AS (SELECT id AS k, x, y FROM pts_s), {near_sql('own', 'pts_s', 8, 40, 'a.k <> b.id', ', ' + C.format(h=DIST) + ' AS k0')}, {system_sql('m', C.format(h=PQ), ['p.k0'], [('1', ['1'])])}, {solved_sql('s')}, {ordinary_sql(8.0)}"
+
+
+@query(f"WITH RECURSIVE {LOOCV} SELECT id AS k, round(z, 6) + 0.0::DOUBLE AS z, round(zk, 6) + 0.0::DOUBLE AS zk, round(vk, 6) + 0.0::DOUBLE AS vk FROM pts_s LEFT JOIN o ON id = o.k", "pts_s")
 def kriging_loocv(spark, sf):
     return rounded(kriging.kriging_loocv(suppliers(spark, sf), EXPONENTIAL, 8, 40.0, order=0))
 
 
-@query()
+ST_GRID = "points AS (SELECT min(site * 100 + t::BIGINT) AS id, x, y, t, avg(z) AS z FROM grid WHERE z IS NOT NULL GROUP BY x, y, t), own AS (SELECT site AS k, any_value(x) AS x, any_value(y) AS y, max(t) + 1 AS t FROM grid GROUP BY site)"
+LAG = "abs(a.t - b.t)"
+ST_NEAR = f"n AS (SELECT a.k, b.*, 2 * exp(-3 * {DIST} / 8) * exp(-3 * {LAG} / 4) AS k0, row_number() OVER (PARTITION BY a.k ORDER BY {DIST} + {LAG}, b.id) AS i FROM own a JOIN points b ON {DIST} <= 6 AND {LAG} <= 5), m AS (SELECT * FROM n WHERE i <= 8)"
+ST_SYSTEM = f"{ST_GRID}, {ST_NEAR}, {system_sql('m', f'2 * exp(-3 * {PQ} / 8) * exp(-3 * abs(p.t - q.t) / 4)', ['p.k0'], [('1', ['1'])])}, {solved_sql('s')}, {ordinary_sql(2.0)}"
+
+
+@query(f"WITH RECURSIVE {ST_SYSTEM} SELECT k, round(zk, 6) + 0.0::DOUBLE AS zk, round(vk, 6) + 0.0::DOUBLE AS vk FROM own LEFT JOIN o USING (k)", "grid")
 def kriging_spacetime(spark, sf):
     g = binding(spark, sf, "grid").withColumn("id", F.col("site") * 100 + F.col("t").cast("long"))
     k = g.groupBy(F.col("site").alias("k")).agg(F.first("x").alias("x"), F.first("y").alias("y"), (F.max("t") + 1).alias("t"))
-    return rounded(kriging.kriging(k, g, [Structure("exponentialC/exponentialC", 2.0, (8.0,), (4.0,))], 8, (6.0, 5.0, 1.0), order=0))
+    return rounded(kriging.kriging(k, kriging.place_means(g, ("x", "y", "t")), [Structure("exponentialC/exponentialC", 2.0, (8.0,), (4.0,))], 8, (6.0, 5.0, 1.0), order=0))
 
 
-@query()
+FACTORS = f"{near_sql('targets', 'pts_s', 8, 25, more=', ' + C.format(h=DIST) + ' AS k0')}, {system_sql('m', NUGGET, ['0', 'p.k0', '0'], [('1', ['0', '0', '1'])])}, {solved_sql('s')}"
+
+
+@query(f"WITH RECURSIVE {FACTORS} SELECT m.k, part, round(sum(w[i][j] * z), 6) + 0.0::DOUBLE AS zk FROM m JOIN solved ON m.k = solved.k CROSS JOIN (VALUES (1, '0:nuggetC'), (2, '1:exponentialC'), (3, 'mean')) parts(j, part) GROUP BY m.k, part", "targets pts_s")
 def kriging_factorial(spark, sf):
     return rounded(kriging.factorial_kriging(targets(spark, sf), suppliers(spark, sf), [Structure("nuggetC", 1.0), *EXPONENTIAL], 8, 25.0))
 
@@ -191,7 +222,14 @@ def two_variables(spark, sf):
     return p.withColumn("var", F.lit(0)).unionByName(p.withColumns({"var": F.lit(1), "z": F.col("z") * 0.5 + 1, "id": F.col("id") + 1_000_000_000}))
 
 
-@query()
+SILLS = "CASE p.var + q.var WHEN 0 THEN 8 WHEN 1 THEN 2 ELSE 4 END"
+TWO_VARIABLES = "points AS (SELECT id, x, y, z, 0 AS var FROM pts_s UNION ALL SELECT id + 1000000000, x, y, z * 0.5 + 1, 1 FROM pts_s)"
+CO_NEAR = f"n AS (SELECT a.k, b.*, CASE b.var WHEN 0 THEN 8 ELSE 2 END * exp(-3 * {DIST} / 30) AS k0, row_number() OVER (PARTITION BY a.k, b.var ORDER BY {DIST}, b.id) + 5 * b.var AS i FROM targets a JOIN points b ON {DIST} <= 25), m0 AS (SELECT * FROM n WHERE i - 5 * var <= 5), m AS (SELECT * REPLACE (row_number() OVER (PARTITION BY k ORDER BY i) AS i) FROM m0)"
+CO_COV = f"{SILLS} * exp(-3 * {PQ} / 30) + CASE WHEN p.var = q.var AND p.x = q.x AND p.y = q.y THEN CASE p.var WHEN 0 THEN 1 ELSE 0.5 END ELSE 0 END"
+CO_SYSTEM = f"{TWO_VARIABLES}, {CO_NEAR}, {system_sql('m', CO_COV, ['p.k0'], [('1 - p.var', ['1']), ('p.var', ['0'])])}, {solved_sql('s')}"
+
+
+@query(f"WITH RECURSIVE {CO_SYSTEM}, o AS (SELECT m.k, sum(w[i][1] * z) AS zk, 9 - sum(w[i][1] * k0) - any_value(w[len(w) - 1][1]) AS vk FROM m JOIN solved ON m.k = solved.k GROUP BY m.k) SELECT k, round(zk, 6) + 0.0::DOUBLE AS zk, round(vk, 6) + 0.0::DOUBLE AS vk FROM targets LEFT JOIN o USING (k)", "targets pts_s")
 def cokriging(spark, sf):
     return rounded(kriging.cokriging(targets(spark, sf), two_variables(spark, sf), LMC, 5, 25.0))
 
@@ -226,7 +264,26 @@ def bme_gaussian_soft_one(spark, sf):
     return rounded(bme.bme_moments(distinct_targets(spark, sf), None, gaussian_soft(spark, sf), EXPONENTIAL, 0, 1, 20.0))
 
 
-@query()
+BME_NEAR = (
+    f"own AS (SELECT id AS k, x + 0.5 AS x, y + 0.25 AS y FROM pts_s), hn AS (SELECT a.k, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.k ORDER BY {DIST}, b.id) AS i, {C.format(h=DIST)} AS k0 FROM own a JOIN pts_s b ON {DIST} <= 20), "
+    f"sn AS (SELECT a.k, b.x, b.y, b.m / 5 AS z, b.w * b.w AS v, row_number() OVER (PARTITION BY a.k ORDER BY {DIST}, b.id) AS i, {C.format(h=DIST)} AS k0 FROM own a JOIN soft b ON {DIST} <= 20), "
+    "h AS (SELECT * FROM hn WHERE i <= 6), f AS (SELECT * FROM sn WHERE i <= 4), "
+    "mean AS (SELECT k, avg(z) AS mu FROM (SELECT k, z FROM h UNION ALL SELECT k, z FROM f) GROUP BY k)"
+)
+#: Soft data given the hard ones: what each is expected to be, and its variance.
+BME_FIRST = (
+    "hs AS (SELECT p.k, p.i, f.i AS j, " + C.format(h="sqrt(pow(p.x - f.x, 2) + pow(p.y - f.y, 2))") + " AS c FROM h p JOIN f ON p.k = f.k), "
+    "hm AS (SELECT h.*, r.c1 FROM h LEFT JOIN (SELECT k, i, list(c ORDER BY j) AS c1 FROM hs GROUP BY k, i) r ON h.k = r.k AND h.i = r.i), "
+    f"e1 AS (SELECT p.k, p.i, list(({C.format(h=PQ)})::DOUBLE ORDER BY q.i) || any_value(p.c1) AS c FROM hm p JOIN hm q ON p.k = q.k WHERE p.c1 IS NOT NULL GROUP BY p.k, p.i), s1 AS (SELECT k, list(c ORDER BY i) AS a FROM e1 GROUP BY k), "
+    + solved_sql("s1").replace("g AS", "g1 AS").replace("FROM g)", "FROM g1)").replace("FROM g ", "FROM g1 ").replace("solved AS", "solved1 AS")
+    + ", given AS (SELECT hs.k, hs.j, sum(w[hs.i][hs.j] * (h.z - mu)) AS up, sum(w[hs.i][hs.j] * c) AS less FROM hs JOIN h ON hs.k = h.k AND hs.i = h.i JOIN solved1 ON hs.k = solved1.k JOIN mean ON hs.k = mean.k GROUP BY hs.k, hs.j), "
+    "gate AS (SELECT f.*, abs(mu + coalesce(up, 0) - f.z) AS gap, sqrt(greatest(8 - coalesce(less, 0), 0)) + sqrt(f.v) AS sd, up IS NOT NULL AS hard FROM f JOIN mean ON f.k = mean.k LEFT JOIN given ON f.k = given.k AND f.i = given.j), "
+    "u AS (SELECT k, x, y, z, 0.0::DOUBLE AS v, k0, i FROM h UNION ALL SELECT k, x, y, z, CASE WHEN hard AND gap > 3 * sd THEN pow(gap / 3, 2) ELSE v END, k0, 100 + i FROM gate), m AS (SELECT * REPLACE (row_number() OVER (PARTITION BY k ORDER BY i) AS i) FROM u)"
+)
+BME_BOTH = f"{BME_NEAR}, {BME_FIRST}, {system_sql('m', C.format(h=PQ) + ' + CASE WHEN p.i = q.i THEN p.v ELSE 0 END', ['p.k0'], [])}, {solved_sql('s')}"
+
+
+@query(f"WITH RECURSIVE {BME_BOTH}, o AS (SELECT m.k, any_value(mu) + sum(w[i][1] * (z - mu)) AS mean, 8 - sum(w[i][1] * k0) AS var FROM m JOIN solved ON m.k = solved.k JOIN mean ON m.k = mean.k GROUP BY m.k) SELECT own.k, round(coalesce(mean, 0), 6) + 0.0::DOUBLE AS mean, round(coalesce(var, 8), 6) + 0.0::DOUBLE AS var, 0.0::DOUBLE AS skew FROM own LEFT JOIN o ON own.k = o.k", "pts_s soft")
 def bme_gaussian(spark, sf):
     return rounded(bme.bme_moments(distinct_targets(spark, sf), suppliers(spark, sf), gaussian_soft(spark, sf), EXPONENTIAL, 6, 4, 20.0, order=0))
 
