@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,13 @@ class NormalScore:
     def inverse(self, z) -> np.ndarray:
         return np.interp(normal_cdf(z), self.f, self.y)
 
+    @cached_property
+    def _slope(self) -> np.ndarray:
+        return np.maximum(np.gradient(self.y, normal_quantile(self.f)), 1e-30)
+
     def slope(self) -> np.ndarray:
         """dy/dz at the nodes, by central differences, 1e-30 at least."""
-        return np.maximum(np.gradient(self.y, normal_quantile(self.f)), 1e-30)
+        return self._slope
 
     def density(self, y, z, zpdf) -> np.ndarray:
         """The density of y from one of z = forward(y): f_z / (dy/dz); NaN outside the table."""
