@@ -54,7 +54,8 @@ def suffix_repeats(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     heads = np.ones(n, dtype=bool)
     heads[1:] = ordered[1:] != ordered[:-1]
     start_of = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
+    # words of a batch fit 32 bits, and every level keeps its ranks
+    rank = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     rank[order] = start_of
     alone = heads.copy()
     alone[:-1] &= heads[1:]
