@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from terravane.functions.covariance import Structure
 from terravane.operators import categorical, interpolate, joins, outlier, plots, ptable, regions
+from terravane.plans.linear_sql import solved_sql, system_sql
 from terravane.plans.queries_dependence import ANGLES, CLASSES, DIST, EDGES, FOLD, MODEL, ORDERED, SHOW, TOLERANCE, sector_sql, shares_sql
-from terravane.plans.queries_estimation import LOGS, MARGINAL, TRIANGLE, Z, class_model, customers, distinct_targets, labelled, suppliers, targets, triangle
+from terravane.plans.queries_estimation import LOGS, MARGINAL, PQ, TRIANGLE, C, Z, class_model, customers, distinct_targets, labelled, suppliers, targets, triangle
 from terravane.plans.registry import ORACLE_SQL, nudged, query, rounded
 from terravane.sources.tables import binding
 
@@ -127,7 +128,10 @@ def model_curve(spark, sf):
     return rounded(plots.model_curve(spark, [Structure("nuggetC", 0.5), Structure("exponentialC", 2.0, (5.0,))], 10.0, 11, variogram=True))
 
 
-@query()
+GLS = f"m AS (SELECT 1 AS k, row_number() OVER (ORDER BY id) AS i, x, y, z FROM pts_s), {system_sql('m', C.format(h=PQ), ['p.z', '1'], [])}, {solved_sql('s')}"
+
+
+@query(f"WITH RECURSIVE {GLS} SELECT round(list_sum(list_transform(w, lambda v: v[1])) / list_sum(list_transform(w, lambda v: v[2])), 6) + 0.0::DOUBLE AS beta FROM solved", "pts_s")
 def local_mean_gls(spark, sf):
     """The generalised least squares mean of the suppliers under an exponential covariance."""
     import numpy as np
