@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 
 
 def windowed_stats(events: DataFrame, window: str, late: str, by: str = "site", ts: str = "ts") -> DataFrame:
-    """(window, site, n, mean, sd) of tumbling windows; events later than `late` are left out. Works on streams and on tables."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, window), by).agg(F.count("z").alias("n"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("sd"))
+    """(window, site, n, mean, sd) of tumbling windows; events later than `late` are left out. Works on streams and on tables.
+
+    Of a table, events without a time have a null window; a stream leaves them out.
+    """
+    stats = (F.count("z").alias("n"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("sd"))
+    timed = events.withWatermark(ts, late).groupBy(F.window(ts, window), by).agg(*stats)
+    if events.isStreaming:
+        return timed
+    untimed = events.where(F.col(ts).isNull()).groupBy(by).agg(*stats)
+    return timed.unionByName(untimed.withColumn("window", F.lit(None).cast(timed.schema["window"].dataType)))
 
 
 def _kalman_step(q: float, r: float, p0: float):
