@@ -50,6 +50,10 @@ def bme(
     """
     st = isspacetime([s.model for s in structures])[0]
     dims = ["x", "y", "t"] if st else ["x", "y"]
+    shared = None if prior else targets.groupBy(F.struct(*dims).alias("__p")).agg(F.min("k").alias("__k"))
+    all_targets = targets
+    if shared is not None:  # targets at one place have one posterior
+        targets = shared.select(F.col("__k").alias("k"), "__p.*")
     rows = targets.select("k", *dims, *([prior[0]] if prior else []))
     if hard is not None and nhmax:
         extra = [prior[1]] if prior else []
@@ -82,7 +86,11 @@ def bme(
             out.extend(emit(row["k"], found))
         return pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return solve_rows(rows, kernel, schema)
+    found = solve_rows(rows, kernel, schema)
+    if shared is None:
+        return found
+    own = all_targets.select("k", F.struct(*dims).alias("__p")).join(shared, "__p").select("k", "__k")
+    return own.join(found.withColumnRenamed("k", "__k"), "__k").select("k", *found.columns[1:])
 
 
 def bme_moments(targets, hard, soft, structures, nhmax, nsmax, dmax, order=None, options: BmeOptions = BmeOptions(), **more) -> DataFrame:
