@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.operators.joins import knn_join, range_join
+from terravane.operators.joins import knn_join, nearest_cells, spacetime_join
 
 
 def zscores(rows: DataFrame, by: str = "site") -> DataFrame:
@@ -76,15 +76,25 @@ def spacetime_outliers(grid: DataFrame, radius: float, nmax: int, bucket: float,
 def idw_outliers(rows: DataFrame, bandwidth: float, nmax: int, ratio: float, reach: float, k: float = 3.0, by: str = "site") -> DataFrame:
     """(…, zscore, predicted, outlier): z-scores against the inverse-distance prediction from the nmax nearest values of other sites within `reach` and the time before, up to `bandwidth` back; an outlier differs by more than k. Values without neighbours are none.
 
-    One pass: windows don't exclude earlier outliers (sequential_outliers does).
+    One pass: windows don't exclude earlier outliers (sequential_outliers does). A site has
+    one row a time at most. The rows of one place and time share a list of neighbours, long
+    enough for any of them to leave its own site out: pairs grow with places and times.
     """
     scored = zscores(rows, by)
-    keyed = scored.select(F.struct(by, "t").alias("__k"), "x", "y", "t", "zscore", F.col(by).alias("__by"))
-    near = range_join(keyed, keyed, reach).where((F.col("a.__by") != F.col("b.__by")) & (F.col("b.t") <= F.col("a.t")) & (F.col("b.t") >= F.col("a.t") - bandwidth))
+    dims = ("x", "y", "t")
+    few = scored.where("x is not null and y is not null and t is not null").select(*dims, F.col(by).alias("__by"), F.col("zscore").alias("z"))
+    few = few.withColumn("__r", F.row_number().over(Window.partitionBy(*dims).orderBy("__by"))).where(F.col("__r") <= nmax + 1)
+    cells = few.groupBy(*dims).agg(F.count("*").alias("n")).withColumn("k", F.struct(*dims))
+    met = spacetime_join(cells.drop("n"), cells.drop("k"), reach, bandwidth).where((F.col("b.t") <= F.col("a.t")) & (F.col("b.t") >= F.col("a.t") - bandwidth))
     gap = F.sqrt(F.pow("d", 2.0) + F.pow((F.col("a.t") - F.col("b.t")) * ratio, 2.0))
-    near = near.select(F.col("a.__k").alias("__k"), F.col("b.__k").alias("__b"), F.col("b.zscore").alias("z"), gap.alias("g"))
-    near = near.withColumn("__p", F.row_number().over(Window.partitionBy("__k").orderBy("g", "__b"))).where(F.col("__p") <= nmax)
+    near = met.select("a.k", F.struct(*(F.col(f"b.{c}").alias(c) for c in dims)).alias("__c"), gap.alias("g"), "b.n")
+    # a row's own site takes one of the neighbours at each time
+    near = nearest_cells(near, nmax, "t").join(few.withColumn("__c", F.struct(*dims)), "__c")
+    near = near.withColumn("__p", F.row_number().over(Window.partitionBy("k").orderBy("g", "__by", "t"))).where(F.col("__p") <= nmax + F.col("__less"))
     w = 1 / F.pow(F.greatest(F.col("g"), F.lit(1e-10)), 2.0)
-    found = near.groupBy("__k").agg((F.sum(w * F.col("z")) / F.sum(w)).alias("predicted"))
-    out = scored.withColumn("__k", F.struct(by, "t")).join(found, "__k", "left").drop("__k")
+    lists = near.groupBy(F.col("k").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("__p", "__by", w.alias("w"), "z"))).alias("__l"))
+    out = scored.withColumn("__k", F.struct(*dims)).join(lists, "__k", "left")
+    out = out.withColumn("__l", F.slice(F.filter("__l", lambda e: e["__by"] != F.col(by)), 1, nmax))
+    wz, sw = F.aggregate("__l", F.lit(0.0), lambda s, e: s + F.coalesce(e["w"] * e["z"], F.lit(0.0))), F.aggregate("__l", F.lit(0.0), lambda s, e: s + e["w"])
+    out = out.withColumn("predicted", F.when(F.exists("__l", lambda e: e["z"].isNotNull()), wz / sw)).select(*scored.columns, "predicted")
     return out.withColumn("outlier", F.coalesce(F.abs(F.col("zscore") - F.col("predicted")) > k, F.lit(False)))
