@@ -18,11 +18,12 @@ def zscores(rows: DataFrame, by: str = "site") -> DataFrame:
 
 def spatial_outliers(points: DataFrame, radius: float, nmax: int = 100, power: float = 1.5, k: float = 3.0) -> DataFrame:
     """(id, n, outlier): whether |z - IDW| is above k population deviations of the nmax nearest within the radius (self included in the deviation, not in the IDW); a single place is no outlier."""
-    targets = points.select(F.col("id").alias("k"), "x", "y", F.col("z").alias("own"))
-    near = knn_join(targets, points, nmax, radius).join(targets.select("k", "own"), "k")
+    places = points.select(F.struct("x", "y").alias("k"), "x", "y").distinct()  # the points of a place share their neighbourhood
+    near = knn_join(places, points, nmax, radius)
     w = F.when(F.col("d") > 0, 1 / F.pow(F.greatest(F.col("d"), F.lit(1e-300)), power)).otherwise(0.0)
-    rows = near.groupBy("k").agg(F.count("*").alias("n"), F.stddev_pop("z").alias("sd"), F.sum(w * F.col("z")).alias("wz"), F.sum(w).alias("sw"), F.first("own").alias("own"))
-    return rows.select(F.col("k").alias("id"), "n", F.when(F.col("sw") == 0, False).otherwise(F.abs(F.col("own") - F.try_divide(F.col("wz"), F.col("sw"))) > k * F.col("sd")).alias("outlier"))
+    rows = near.groupBy("k").agg(F.count("*").alias("n"), F.stddev_pop("z").alias("sd"), F.sum(w * F.col("z")).alias("wz"), F.sum(w).alias("sw"))
+    rows = points.select("id", F.struct("x", "y").alias("k"), F.col("z").alias("own")).join(rows, "k")
+    return rows.select("id", "n", F.when(F.col("sw") == 0, False).otherwise(F.abs(F.col("own") - F.try_divide(F.col("wz"), F.col("sw"))) > k * F.col("sd")).alias("outlier"))
 
 
 def window_outliers(rows: DataFrame, bucket: float, bandwidth: float, k: float = 3.0, by: tuple[str, ...] = ()) -> DataFrame:
