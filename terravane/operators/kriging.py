@@ -106,9 +106,10 @@ def kriging_loocv(points: DataFrame, structures: Sequence[Structure], nmax: int,
 
 
 def factorial_kriging(targets: DataFrame, points: DataFrame, structures: Sequence[Structure], nmax: int, dmax: float, order: float | None = 0) -> DataFrame:
-    """(k, part, zk): the estimate of each nested structure, and of the mean ('mean')."""
-    near = knn_join(targets, points, nmax, dmax)
-    rows = targets.select("k", "x", "y").join(gather(near, ["x", "y", "z"], "hard"), "k")
+    """(k, part, zk): the estimate of each nested structure, and of the mean ('mean'). Targets at one place share one system."""
+    places = targets.groupBy("x", "y").agg(F.min("k").alias("k"))
+    near = knn_join(places, points, nmax, dmax)
+    rows = places.select("k", "x", "y").join(gather(near, ["x", "y", "z"], "hard"), "k")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         ck = pdf[["x", "y"]].to_numpy(float)
@@ -125,7 +126,9 @@ def factorial_kriging(targets: DataFrame, points: DataFrame, structures: Sequenc
             out.extend((pdf["k"].iloc[i], name, float(w[:, j] @ hard[i][:, 2])) for j, name in enumerate(names))
         return pd.DataFrame(out, columns=["k", "part", "zk"])
 
-    return solve_rows(rows, kernel, "k long, part string, zk double")
+    found = solve_rows(rows, kernel, "k long, part string, zk double").withColumnRenamed("k", "first")
+    own = targets.select("k", "x", "y").join(places.withColumnRenamed("k", "first"), ["x", "y"])
+    return own.join(found, "first").select("k", "part", "zk")
 
 
 @dataclass(frozen=True)
